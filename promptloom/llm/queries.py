@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.llm.packing import pack_documents
+from promptloom.llm.pairs import defective_pairs
 from promptloom.llm.sampling import ProportionalSample, resolve_values
 from promptloom.llm.terms import mark_terms, term_counts
 from promptloom.llm.tokens import encode_corpus, token_counts
+from promptloom.llm.truncation import field_limits, fit_cut_model, score_cuts
 from promptloom.sources import materialise, once, read_table
 
 FIELDS = ["category", "urgency", "domain"]
@@ -55,6 +57,53 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("term", "occurrences", "records", "mark")
 
 
+def _answer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, row_id, field, backend, text of every value that could be cut."""
+    parts = []
+    for table, row_id, fields in (("task_results", "result_id", ("answer", "reasoning")), ("answers", "answer_id", ("answer", "reasoning")), ("routing", "query_id", ("reasoning",))):
+        texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+        df = read_table(spark, sf_dir, table, row_id, "backend", *fields)
+        parts.append(df.select(F.lit(table).alias("source"), F.col(row_id).alias("row_id"), "backend", F.inline(texts)).filter("text IS NOT NULL"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _cuts(spark: SparkSession, sf_dir: str, cut_only: bool) -> tuple[DataFrame, float]:
+    values = _answer_values(spark, sf_dir)
+    limits = field_limits(values)
+    model = fit_cut_model(values, limits)
+    return score_cuts(values, model, limits, cut_only), model.threshold
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Texts delivered again are scored again, which is cheaper than an exchange of all texts; the few hits count once.
+    hits, _ = _cuts(spark, sf_dir, True)
+    return hits.select(F.col("source").alias("table_name"), "row_id", F.col("field").alias("field_name")).dropna().distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, threshold = _cuts(spark, sf_dir, False)
+    each = once(scored.select("source", "row_id", "field", "backend", (F.col("score") >= threshold).cast("long").alias("cut")), "source", "row_id", "field")
+    return each.groupBy(F.col("source").alias("table_name"), F.col("field").alias("field_name"), "backend").agg(
+        F.count("*").alias("n_values"), F.sum("cut").alias("n_cut"), (F.sum("cut") / F.count("*")).alias("cut_share")
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = read_table(spark, sf_dir, "task_results", "result_id", "query", "answer", "error").filter("error IS NULL")
+    runs = read_table(spark, sf_dir, "ticket_run", "run_id", "ticket", "classification", "solution").filter("solution IS NOT NULL")
+    return defective_pairs(
+        tasks.select(
+            F.lit("task_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("query").alias("prompt"),
+            F.array("answer").alias("parts"), F.lit(None).cast("string").alias("context"),
+        ).unionByName(
+            runs.select(
+                F.lit("ticket_run").alias("table_name"), F.col("run_id").alias("row_id"), F.col("classification.description").alias("prompt"),
+                F.col("solution.solution_steps").alias("parts"), F.col("ticket.cleaned_text").alias("context"),
+            )
+        )
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
