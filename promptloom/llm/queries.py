@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptloom.llm.packing import pack_documents
 from promptloom.llm.pairs import defective_pairs
+from promptloom.llm.pii import redact_texts
 from promptloom.llm.sampling import ProportionalSample, resolve_values
 from promptloom.llm.terms import mark_terms, term_counts
 from promptloom.llm.tokens import encode_corpus, token_counts
@@ -44,6 +45,21 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampler(spark, sf_dir).report()
 
 
+def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read_table(spark, sf_dir, "ticket_run").select("run_id", "ticket.cleaned_text", "classification.description")
+    return redact_texts(runs, ["cleaned_text", "description"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_types").alias("types")) for f in ("cleaned_text", "description")]
+    found = _redacted(spark, sf_dir).dropna(subset=["run_id"]).select("run_id", F.inline(F.array(*fields)))
+    return found.select("run_id", "field_name", F.explode("types").alias("pii_type")).distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(_redacted(spark, sf_dir), "run_id")
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = once(read_table(spark, sf_dir, "ticket_run", "run_id", "keywords"), "run_id")
     return mark_terms(term_counts(runs, "keywords"), fewer_than=3, more_than_percent=8)
