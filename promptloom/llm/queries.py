@@ -11,6 +11,7 @@ from promptloom.llm.packing import pack_documents
 from promptloom.llm.pairs import defective_pairs
 from promptloom.llm.pii import redact_texts
 from promptloom.llm.sampling import ProportionalSample, resolve_values
+from promptloom.llm.subjects import assign_subjects, fit_subject_model
 from promptloom.llm.terms import mark_terms, term_counts
 from promptloom.llm.tokens import encode_corpus, token_counts
 from promptloom.llm.truncation import field_limits, fit_cut_model, score_cuts
@@ -129,5 +130,33 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(sizes, "doc_id", "tokens", read_table(spark, sf_dir, "containers"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r[0] for r in read_table(spark, sf_dir, "subject_areas", "subject").dropna().distinct().orderBy("subject").collect()]
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return assign_subjects(documents, read_table(spark, sf_dir, "labels", "doc_id", "subject"), "doc_id", "text", _subjects(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents, and how much of them, each subject has."""
+    of = _assigned(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("weight"))
+    return of.select("subject", "documents", F.round("weight", 6).alias("weight"))
+
+
+def p8_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics with their top terms and the subjects they were mapped to, for inspection."""
+    documents = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "subject")
+    model = fit_subject_model(documents, labels, _subjects(spark, sf_dir))
+    schema = "topic int, subject string, support double, weight double, terms array<string>"
+    return spark.createDataFrame(model.top_terms() if model else [], schema)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
