@@ -24,8 +24,11 @@ CLOSERS = "\"'”’»)]`*_"
 STAND_INS = frozenset({"", "null", "none", "nil", "nan", "n a", "na", "tbd", "tba", "tbc", "empty", "undefined", "no answer", "no content", "no response", "not available", "not applicable", "answer pending", "placeholder", "todo"})
 
 _PLAIN = re.compile(r"[\W_]+")
+_FOUR_WORDS = re.compile(r"[\W_]*(?:[^\W_]+[\W_]+){3}[^\W_]")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
+_OUTER = STOPS + CLOSERS + ",;:"
+_AROUND = _OUTER + "(«\"“"
 _BREAK = re.compile(rf"(?<=[{STOPS}])[{re.escape(CLOSERS)}]?\s+|\n+")
 _TERMINATED = re.compile(rf"[{STOPS}][{re.escape(CLOSERS)}]*$")
 _ELLIPSIS = re.compile(r"(\.\.|…)[\"'”’»)\]]*$")
@@ -38,7 +41,7 @@ def terminated(text: str) -> bool:
 
 def stand_in(text: str) -> bool:
     """No content: blank, invisible, or only a stand-in for none."""
-    return _PLAIN.sub(" ", text.lower()).strip() in STAND_INS
+    return not _FOUR_WORDS.match(text) and _PLAIN.sub(" ", text.lower()).strip() in STAND_INS
 
 
 def _openings(sentence: str) -> tuple[str, ...]:
@@ -57,42 +60,41 @@ def features(text: str, limit: int, glue: frozenset[str]) -> list[int]:
     above the text's length (0: none known).
     """
     tail = text[-400:]
+    stripped = len(tail.rstrip())
     begin = 0
-    for m in _BREAK.finditer(tail[:-1].rstrip()):
-        if m.end() < len(tail.rstrip()):
-            begin = m.end()
+    for m in _BREAK.finditer(tail, 0, max(0, stripped - 1)):
+        begin = m.end()
     last = tail[begin:]
     words = _tokens(last)
     n = len(words)
     end = text[-1:]
-    space = "S" if end.isspace() else ""
     w1 = words[-1] if words else ""
     w2 = words[-2] if n > 1 else "^"
     w3 = words[-3] if n > 2 else "^"
-    bare = w1.rstrip(STOPS + CLOSERS + ",;:")
-    stop = w1[len(bare) :]
-    full = terminated(text)
-    t = "T" if full else "U"
+    bare = w1.rstrip(_OUTER)
+    t = "T" if terminated(tail) else "U"
     opening = " ".join(words[: 2 if words and words[0][:1].isalnum() else 1])
-    shape = []
+    shape: list[str] = []
+    gaps, seen = 0, 0
     for w in words[-7:]:
-        b = w.strip(STOPS + CLOSERS + ",;:(«\"“")
-        x = b if b in glue or b == "#" else "_" if b[:1].isalnum() else w
+        b = w.strip(_AROUND)
+        if b in glue:
+            x, seen, gaps = b, 1, 0
+        else:
+            x = "#" if b == "#" else "_" if b[:1].isalnum() else w
+            gaps += 1
         if w[-1:] in ",;:":
             x += w[-1]
-        if not (x == "_" and shape and shape[-1] == "_"):
+        if x != "_" or not shape or shape[-1] != "_":
             shape.append(x)
-    gaps = 0
-    for w in reversed(words):
-        if w.strip(STOPS + CLOSERS + ",;:(") in glue:
-            break
-        gaps += 1
+    gaps = min(gaps, 5) if seen else 5
+    two, three, four, all_ = " ".join(shape[-2:]), " ".join(shape[-3:]), " ".join(shape[-4:]), " ".join(shape)
+    pair, triple = f"{w2} {bare}", f"{w3} {w2} {bare}"
     raw = [
-        f"c1{end}", f"c2{text[-2:]}", f"c3{_DIGITS.sub('#', text[-3:])}", f"s{space}", f"t{t}", f"p{stop}{t}",
-        f"a{bare}|{t}", f"A{bare}", f"b{w2} {bare}|{t}", f"B{w2} {bare}", f"d{w3} {w2} {bare}", f"D{w3} {w2} {bare}|{t}",
-        f"e{' '.join(shape[-2:])}|{t}", f"f{' '.join(shape[-3:])}|{t}", f"g{' '.join(shape[-4:])}|{t}", f"h{' '.join(shape)}|{t}",
-        f"i{opening}|{' '.join(shape[-2:])}|{t}", f"j{opening}|{min(n, 20)}|{t}", f"k{opening}|{bare}|{t}", f"l{min(gaps, 5)}|{t}",
-        f"m{opening}|{gaps}|{' '.join(shape[-2:])}", f"n{min(n, 12)}|{t}", f"w{bare in glue}|{t}", f"x{w1[:1] in '(«“[' }|{t}",
+        f"c1{end}", f"c2{text[-2:]}", f"c3{_DIGITS.sub('#', text[-3:])}", f"s{end.isspace()}", f"t{t}", f"p{w1[len(bare) :]}{t}",
+        f"a{bare}|{t}", f"A{bare}", f"b{pair}|{t}", f"B{pair}", f"d{triple}", f"D{triple}|{t}",
+        f"e{two}|{t}", f"f{three}|{t}", f"g{four}|{t}", f"h{all_}|{t}", f"i{opening}|{two}|{t}", f"j{opening}|{min(n, 20)}|{t}",
+        f"k{opening}|{bare}|{t}", f"l{gaps}|{t}", f"m{opening}|{gaps}|{two}", f"n{min(n, 12)}|{t}", f"w{bare in glue}|{t}",
         f"q{last.count('(') > last.count(')')}{last.count(chr(34)) % 2}{text.count('```') % 2}{last.count('«') > last.count('»')}|{t}",
     ]
     if limit:
