@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.feistel import permute_format
+from promptloom.sources import materialise
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
@@ -292,7 +293,7 @@ def learn_names(texts: DataFrame, columns: list[str], least: int = 3, most: int
     Surnames need half as much, as they are many; each list keeps the ``most`` frequent, which bounds what workers get.
     """
     counts = texts.select(*columns).mapInPandas(_evidence, "role string, word string").groupBy("role", "word").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("word").pivot("role", ["given", "surname"]).agg(F.sum("n")).na.fill(0)
+    counts = materialise(counts.groupBy("word").pivot("role", ["given", "surname"]).agg(F.sum("n")).na.fill(0), "names")
     out = {}
     for role, k in (("given", least), ("surname", max(1, least // 2))):
         own, other = F.col(role), F.col("surname" if role == "given" else "given")

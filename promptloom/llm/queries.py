@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.llm.oracles import oracle_sql  # noqa: F401
 from promptloom.llm.packing import pack_documents
 from promptloom.llm.pairs import defective_pairs
 from promptloom.llm.pii import redact_texts
