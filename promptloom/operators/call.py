@@ -25,6 +25,8 @@ TEMPERATURE = 0.7
 class Backend(Protocol):
     """Answers requests. A backend is sent to the workers, which ``open`` it once for each partition."""
 
+    pause: float  # seconds between the tries of a failed call
+
     def open(self) -> Callable[[str, str, str, float], str]:
         """A function of (stage, prompt, model, temperature) that returns a reply or raises."""
         ...
@@ -33,6 +35,8 @@ class Backend(Protocol):
 class RuleBackend:
     """Replies by a function of stage and prompt. For tests and dry runs: rules are not a model."""
 
+    pause = 0.0
+
     def __init__(self, rules: Callable[[str, str], str]):
         self.rules = rules
 
@@ -43,6 +47,8 @@ class RuleBackend:
 class HttpBackend:
     """A chat endpoint in the common form. Not tested here, as this container has no network."""
 
+    pause = PAUSE
+
     def __init__(self, url: str, key_variable: str = "OPENROUTER_API_KEY", timeout: float = 60.0):
         if not os.environ.get(key_variable):
             raise ValueError(f"{key_variable} is not set")
@@ -79,7 +85,7 @@ def request_id(stage: Column, model: Column, temperature: Column, prompt: Column
     return F.sha2(F.concat_ws("|", stage, model, temperature.cast("string"), prompt), 256)
 
 
-def call(rows: DataFrame, prompt: str, backend: Backend, stage: str, known: DataFrame | None = None, model: str = MODEL, temperature: float = TEMPERATURE, attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
+def call(rows: DataFrame, prompt: str, backend: Backend, stage: str, known: DataFrame | None = None, model: str = MODEL, temperature: float = TEMPERATURE, attempts: int = ATTEMPTS) -> DataFrame:
     """``rows`` with ``reply`` and ``call_error``.
 
     Equal requests are made once; those in ``known`` (req_id, reply) not at all. Replies are written before they are
@@ -87,6 +93,7 @@ def call(rows: DataFrame, prompt: str, backend: Backend, stage: str, known: Data
     spread by their hash, not by what they belong to. A null prompt gets no call and a null reply.
     """
     own = rows.withColumn("_req", request_id(F.lit(stage), F.lit(model), F.lit(temperature), F.col(prompt)))
+    pause = backend.pause
     wanted = own.filter(F.col(prompt).isNotNull()).select(F.col("_req").alias("req_id"), F.col(prompt).alias("prompt")).dropDuplicates(["req_id"])
     if known is not None:
         wanted = wanted.join(known.select("req_id"), "req_id", "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import guardrail, jsonx, render
 from promptloom.operators import fanout, reflexion, review, routing
-from promptloom.plans import prompts
+from promptloom.plans import dry_run, pipeline, prompts
 from promptloom.sources import once, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,3 +451,18 @@ def draft_diff(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def prompt_table(spark: SparkSession, d: str) -> DataFrame:
     return prompts.table(spark)
+
+
+# Whole pipelines, with rules in place of a model ----------------------------------------------------------------------
+
+
+@_query()
+def ticket_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    rows = once(read_table(spark, d, "tickets", "ticket_id", "text"), "ticket_id")
+    return pipeline.tickets(rows, dry_run.backend()).select("ticket_id", "branch", "sentiment", "reply", "reviews", "improves", "approved", "error")
+
+
+@_query()
+def research_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    rows = once(read_table(spark, d, "questions", "query_id", "text"), "query_id")
+    return pipeline.research(rows, dry_run.backend(), n=3)
