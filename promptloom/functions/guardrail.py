@@ -36,8 +36,11 @@ def is_injection(text: Column) -> Column:
 
 
 def has_pii(text: Column) -> Column:
-    """An email address or a run of 10 to 15 digits; letters and digits of all scripts count."""
-    return text.rlike(f"(?U){EMAIL}") | text.rlike(f"(?U){PHONE}")
+    """An email address or a run of 10 to 15 digits; letters and digits of all scripts count.
+
+    The email pattern reads a text again and again where there is no at sign, so that is looked for first.
+    """
+    return (text.contains("@") & text.rlike(f"(?U){EMAIL}")) | text.rlike(f"(?U){PHONE}")
 
 
 def has_credential(text: Column) -> Column:

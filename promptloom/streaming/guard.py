@@ -18,7 +18,8 @@ def guarded(stream: DataFrame, text: str = "text") -> DataFrame:
 
 def verdict_counts(stream: DataFrame, time: str, text: str = "text", window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Verdicts by window of event time; rows later than ``late`` are dropped, which bounds the state."""
-    own = guarded(stream.withWatermark(time, late), text)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))  # a watermark takes no timestamps without zone
+    own = guarded(timed.withWatermark(time, late), text)
     return own.groupBy(F.window(time, window), "reason").count().select("window.start", "window.end", "reason", F.col("count").alias("n"))
 
 
