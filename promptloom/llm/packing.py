@@ -39,7 +39,8 @@ class LocalSearch:
 
     The emptiest bin is worked on: each of its items is moved into another bin's free room, or exchanged for one or two
     smaller items there, wherever the other bin comes out fullest. A bin whose items are all gone is dropped. A bin
-    that no exchange helps is left alone; the search ends when ``steps`` are used up or all bins are.
+    that no exchange helps is left alone until another one changes; the search ends when no bin can be helped, or after
+    ``steps`` exchanges tried.
     """
 
     def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int, steps: int = 20_000):
@@ -119,6 +120,7 @@ class LocalSearch:
                 if not self._improve(b):
                     given_up.add(b)
                     break
+                given_up.clear()  # others may find room now
         return [b for b in self.bins if b]
 
 

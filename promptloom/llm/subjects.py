@@ -104,9 +104,15 @@ def fit_subject_model(
     base = np.maximum(sum(counts.values(), np.zeros(len(subjects))), 1.0)
     base /= base.sum()
 
+    even = 1 / max(1, len(subjects))
+
     def general(word: str) -> bool:
+        """In labelled documents of all subjects alike."""
         own = counts.get(word)
-        return own is not None and own.sum() >= 8 and (own / own.sum() / base).max() < 3.5
+        if own is None or own.sum() < 8:
+            return False
+        lifted = own / base
+        return (lifted / lifted.sum()).max() < even + 0.28 * (1 - even)
 
     vocabulary = sorted(r["word"] for r in top if not general(r["word"]))
     if not vocabulary:

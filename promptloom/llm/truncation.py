@@ -239,7 +239,7 @@ def field_limits(values: DataFrame, least: int = 8, times: float = 6.0) -> dict[
     """
     from pyspark.sql.window import Window
 
-    counts = values.groupBy("source", "field", F.length("text").alias("n")).agg(F.count("*").alias("k"))
+    counts = values.filter("text IS NOT NULL").groupBy("source", "field", F.length("text").alias("n")).agg(F.count("*").alias("k"))
     near = Window.partitionBy("source", "field").orderBy("n").rangeBetween(-8, 8)
     spikes = counts.withColumns({"around": F.sum("k").over(near), "top": F.max("k").over(near)}).filter(
         (F.col("n") >= 40) & (F.col("k") == F.col("top")) & (F.col("k") >= least) & (F.col("k") >= times * (F.col("around") - F.col("k")) / 16)
@@ -259,6 +259,7 @@ def fit_cut_model(values: DataFrame, limits: dict, sample: int = 16_000, **optio
 
     Only the fit is on a sample; of its texts the last 2,000 characters are looked at.
     """
+    values = values.filter("text IS NOT NULL")
     total = values.count()
     share = int(min(1.0, sample / max(1, total)) * 1_000_000)
     drawn = values.filter(F.pmod(F.xxhash64(*values.columns, F.lit(11)), F.lit(1_000_000)) < share)
