@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from promptloom.sources import materialise
 
 PACKED = "container_kind string, capacity int, container_id string, key {kind}, piece int, start long, size int, filled int"
+#: Bins beyond those above the bound that a pass works on, and passes in a row that may empty none.
+SPARE, PATIENCE = 8, 3
 #: Items that one task packs at once.
 BLOCK = 20_000
 MAX_KINDS = 1_000
@@ -38,8 +40,9 @@ class LocalSearch:
     """Exchanges between underfull bins that raise the sum of squared fills, until bins run empty.
 
     The emptiest bin is worked on: each of its items is moved into another bin's free room, or exchanged for one or two
-    smaller items there, wherever the other bin comes out fullest. A bin whose items are all gone is dropped. A bin
-    that no exchange helps is left alone until another one changes; the search ends when no bin can be helped, or after
+    smaller items there, wherever the other bin comes out fullest. A bin whose items are all gone is dropped. Each pass
+    takes as many bins, the emptiest first, as are above the bound, and ``SPARE`` more, since what one couldn't do may
+    work once another has changed. The search ends at the bound, after ``PATIENCE`` passes that empty no bin, or after
     ``steps`` exchanges tried.
     """
 
@@ -76,8 +79,8 @@ class LocalSearch:
         for size in sorted({int(self.sizes[i]) for i in self.bins[b]}, reverse=True):
             item = next(i for i in self.bins[b] if int(self.sizes[i]) == size)
             bins = np.unique(where)
-            fits = bins[free[bins] >= size]
-            if len(fits):  # a move: into the bin that is left with the least room
+            fits = bins[(free[bins] >= size) & (self.fill[bins] + size > self.fill[b])]
+            if len(fits):  # a move: into the bin that is left with the least room, unless this one would be the fuller
                 c = int(fits[np.argmin(free[fits])])
                 self._exchange(b, item, [], c)
                 return True
@@ -106,21 +109,24 @@ class LocalSearch:
         return True
 
     def run(self) -> list[list[int]]:
-        least = -(-int(self.fill.sum()) // self.capacity)
-        given_up: set[int] = set()
-        while self.steps > 0 and sum(1 for b in self.bins if b) > max(least, 1):
-            live = [b for b in range(len(self.bins)) if self.bins[b] and b not in given_up]
-            if not live:
+        least = max(1, -(-int(self.fill.sum()) // self.capacity))
+        idle = 0
+        while idle < PATIENCE and self.steps > 0:
+            live = [b for b in range(len(self.bins)) if self.bins[b]]
+            if len(live) <= least:
                 break
-            b = min(live, key=lambda x: (self.fill[x], x))
-            if self.fill[b] >= self.capacity:
+            # To reach the bound as many bins must go; emptier ones stand the best chance.
+            live.sort(key=lambda b: (self.fill[b], b))
+            changed = False
+            for b in live[: len(live) - least + SPARE]:
+                while self.bins[b] and self.fill[b] < self.capacity and self.steps > 0:
+                    self.steps -= 1
+                    if not self._improve(b):
+                        break
+                    changed = True
+            if not changed:
                 break
-            while self.bins[b] and self.steps > 0:
-                self.steps -= 1
-                if not self._improve(b):
-                    given_up.add(b)
-                    break
-                given_up.clear()  # others may find room now
+            idle = idle + 1 if len(live) == sum(1 for b in self.bins if b) else 0
         return [b for b in self.bins if b]
 
 
