@@ -49,7 +49,7 @@ class HttpBackend:
 
     pause = PAUSE
 
-    def __init__(self, url: str, key_variable: str = "OPENROUTER_API_KEY", timeout: float = 60.0):
+    def __init__(self, url: str, key_variable: str = "CHAT_API_KEY", timeout: float = 60.0):
         if not os.environ.get(key_variable):
             raise ValueError(f"{key_variable} is not set")
         self.url, self.key_variable, self.timeout = url, key_variable, timeout
