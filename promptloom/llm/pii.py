@@ -28,6 +28,9 @@ _EMAIL = re.compile(
     re.IGNORECASE,
 )
 
+#: What every email address holds; looked for first, as most texts have none.
+_AT = re.compile(r"@|[\[( ]at[\]) ]", re.IGNORECASE)
+
 # Numbers -------------------------------------------------------------------------------------------------------------
 
 #: Words near a number that say what it counts or names.
@@ -65,6 +68,7 @@ _PHONE_SHAPES = re.compile(
 )
 #: Digits as words.
 _DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun"
+_DIGITS_SPELLED = frozenset(_DIGIT_WORDS.split("|"))
 _SPELLED = re.compile(rf"\b(?:{_DIGIT_WORDS})(?:[ \-]+(?:{_DIGIT_WORDS})){{6,14}}\b", re.IGNORECASE)
 
 # Street addresses ----------------------------------------------------------------------------------------------------
@@ -97,6 +101,7 @@ _BEFORE = r"my name is|i am called|this is|regards,|wishes,|sincerely,|cheers,|s
 _BEFORE_RE = re.compile(rf"(?:(?<!\w)(?:{_BEFORE}))[ \n]+", re.IGNORECASE)
 _BEHIND = re.compile(r"^ (?:here again|told me|writes?:|reports?:|from the|as a |instead|gesprochen|on monday)", re.IGNORECASE)
 _TOKEN = re.compile(rf"{_WORD}")
+_TITLE_WORDS = frozenset(_TITLES.split("|"))
 _TITLE_RE = re.compile(rf"(?<!\w)(?:{_TITLES})\.? (?={_W})", re.IGNORECASE)
 _CAP = r"[^\W\d_a-zß-öø-ÿ]"
 _PROPER = rf"(?:{_CAP}{_W}+(?:['’\-]{_CAP}{_W}+)*)"
@@ -113,6 +118,8 @@ _WEAK = frozenset({"this is", "customer", "user", "-", "--", "went to"})
 
 def name_evidence(text: str) -> Iterator[tuple[str, str]]:
     """(given name, surname) for names that stand, properly written and without a title, where a name is given."""
+    if not _BEFORE_RE.search(text):
+        return
     for pattern in (_EMAIL, _ADDRESS):
         text = pattern.sub("\x00", text)
     for m in _BEFORE_RE.finditer(text):
@@ -155,7 +162,7 @@ class Detector:
             found = m.lastgroup
         return found
 
-    def _numbers(self, text: str) -> Iterator[tuple[int, int, str]]:
+    def _numbers(self, text: str, words: list[str]) -> Iterator[tuple[int, int, str]]:
         for m in _PHONE_SHAPES.finditer(text):
             digits = sum(c.isdigit() for c in m[0])
             cue = self._context(text, *m.span())
@@ -167,8 +174,9 @@ class Detector:
         for m in _ID_WITH_CUE.finditer(text):
             if self._context(text, *m.span()) == "id" and sum(c.isdigit() for c in m[0]) >= 5:
                 yield *m.span(), "id_number"
-        for m in _SPELLED.finditer(text):
-            yield *m.span(), "phone"
+        if sum(w in _DIGITS_SPELLED for w in words) >= 4:  # hyphens may join two
+            for m in _SPELLED.finditer(text):
+                yield *m.span(), "phone"
 
     def _extend(self, text: str, m: re.Match) -> tuple[int, int]:
         """From a known given name over the rest of the name."""
@@ -187,17 +195,19 @@ class Detector:
             start = t.start()
         return start, end
 
-    def _names(self, text: str) -> Iterator[tuple[int, int, str]]:
-        for m in _TOKEN.finditer(text):
+    def _names(self, text: str, words: list[str]) -> Iterator[tuple[int, int, str]]:
+        present = set(words)
+        titled = not present.isdisjoint(_TITLE_WORDS)
+        for m in _TOKEN.finditer(text) if not present.isdisjoint(self.given) else ():
             if m[0].casefold() in self.given:
                 yield *self._extend(text, m), "name"
         called = {m.end() for m in _BEFORE_RE.finditer(text)}
         for m in _INITIAL.finditer(text):
             if self._surname(m[2]) or (m[2][0].isupper() and (_BEHIND.match(text, m.end()) or m.start() in called)):
                 yield *m.span(), "name"
-        for m in _TITLED.finditer(text):
+        for m in _TITLED.finditer(text) if titled else ():
             yield m.start(), m.end(2) if m[2] and self._known(m[2]) else m.end(1), "name"
-        for m in _TITLE_RE.finditer(text):
+        for m in _TITLE_RE.finditer(text) if titled else ():
             w = _TOKEN.match(text, m.end())
             if w and self._surname(w[0]):
                 yield m.start(), w.end(), "name"
@@ -227,11 +237,13 @@ class Detector:
                 out[a:b] = "\x00" * (b - a)
             return "".join(out)
 
-        take((*m.span(), "email") for m in _EMAIL.finditer(text))
+        words = [w.casefold() for w in _TOKEN.findall(text)]
+        if _AT.search(text):
+            take((*m.span(), "email") for m in _EMAIL.finditer(text))
         if any(c.isdigit() for c in text):
             take((m.start(), self._address_end(text, m), "address") for m in _ADDRESS.finditer(hidden()) if self._is_address(m[0]))
-        take(self._numbers(hidden()))
-        take(self._names(hidden()))
+        take(self._numbers(hidden(), words))
+        take(self._names(hidden(), words))
         return sorted(taken)
 
     def _address_end(self, text: str, m: re.Match) -> int:
