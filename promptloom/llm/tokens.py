@@ -39,8 +39,19 @@ def encoder(path: str):
     return _encoders[path]
 
 
+#: Characters that are encoded at once: what the library keeps for each token of them is many times their size.
+SLICE = 1_000_000
+
+
 def encode(path: str, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in encoder(path).encode_batch(texts, add_special_tokens=False)]
+    own, out, part, size = encoder(path), [], [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= SLICE:
+            out += [e.ids for e in own.encode_batch_fast(part, add_special_tokens=False)]
+            part, size = [], 0
+    return out + [e.ids for e in own.encode_batch_fast(part, add_special_tokens=False)] if part else out
 
 
 # Chunks -------------------------------------------------------------------------------------------------------------
