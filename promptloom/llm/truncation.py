@@ -285,9 +285,10 @@ def score_cuts(values: DataFrame, model: CutModel, limits: dict, cut_only: bool
     """``values`` (source, field, text, and other columns) without text, with ``score``, the probability of a cut.
 
     Rows with a null text are left out; an empty or blank text scores 0, as nothing shows that it was longer. Rows
-    come out as often as they come in. One pass without an exchange; the broadcast model has 2^18 weights.
+    come out as often as they come in. A column that is called score already is replaced. One pass without an exchange; the broadcast model has 2^18 weights.
     """
     spark = values.sparkSession
+    values = values.drop("score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema if f.name != "text")
     shared = spark.sparkContext.broadcast(model)
     run = _scored(shared, limits, model.threshold if cut_only else None)

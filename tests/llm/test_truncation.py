@@ -51,7 +51,7 @@ def test_spark_path(spark):
     draw = random.Random(9)
     rows = [(i, "t", "a", t, "b1") for i, t in enumerate(texts(1200, 4))] + [(9000 + i, "t", "a", (t + " " + t)[:120], "b1") for i, t in enumerate(u for u in texts(200, 5) if len(u) > 130) if i < 60]
     rows += [(20000, None, "a", "fine text.", None), (20001, "t", "a", None, "b1"), (20002, "t", "a", "", "b1"), (20003, "t", "a", "long text " * 30_000, "b1"), (0, *rows[0][1:])]
-    df = spark.createDataFrame([(*r, 1.5) for r in rows], "row_id long, source string, field string, text string, backend string, other double").repartition(3)
+    df = spark.createDataFrame([(*r, 1.5) for r in rows], "row_id long, source string, field string, text string, backend string, score double").repartition(3)
     limits = field_limits(df)
     assert limits["t", "a"] == [120] and limit_of(100, [120]) == 120 and limit_of(200, [120]) == 0
     fitted = fit_cut_model(df, limits, sample=5000)
