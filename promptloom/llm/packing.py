@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from promptloom.sources import materialise
 
@@ -160,6 +161,13 @@ def _pack_block(round_: int, steps: int):
     return run
 
 
+def _emptiest(under: DataFrame, block: int) -> int:
+    """The highest fill up to which the containers' items make one block; -1 if those of the lowest are more."""
+    upto = Window.partitionBy("container_kind").orderBy("filled")
+    levels = under.groupBy("container_kind", "filled").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(upto))
+    return levels.filter(F.col("n") <= block).agg(F.coalesce(F.max("filled"), F.lit(-1))).first()[0]
+
+
 def pack_documents(sizes: DataFrame, key: str, size: str, containers: DataFrame, block: int = BLOCK, full: float = 0.995, steps: int = 20_000) -> DataFrame:
     """Which container holds each document, or each piece of one, for each kind of ``containers``.
 
@@ -173,8 +181,10 @@ def pack_documents(sizes: DataFrame, key: str, size: str, containers: DataFrame,
 
     Items are spread at random over blocks of about ``block`` items, so one task holds that many at once, whatever
     the corpus, and each block is packed best-fit and improved by local search. Containers filled less than ``full``
-    are opened again, and their items packed together in the next round, until they make one block; each round is
-    written, so a lost executor costs little. Kinds (at most ``MAX_KINDS``) are collected, counts are one row each.
+    are opened again, and their items packed together in the next round, until they make one block. A kind of which a
+    round leaves as many open as before comes to its end: the emptiest that make one block are packed once more, the
+    others stay as they are. So there are at most as many rounds as containers. Each round is written, so a lost executor
+    costs little. Kinds (at most ``MAX_KINDS``) are collected, counts are one row each.
     """
     kinds = [tuple(r) for r in containers.filter("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int")).distinct().limit(MAX_KINDS + 1).collect()]
     if len(kinds) > MAX_KINDS:
@@ -195,6 +205,7 @@ def pack_documents(sizes: DataFrame, key: str, size: str, containers: DataFrame,
     pieces = materialise(pieces.select("container_kind", "capacity", "key", "piece", "start", "size", order.alias("order")), "pieces")
     alone = pieces.filter("size = capacity").select("container_kind", "capacity", F.concat_ws("-", "container_kind", F.lit("full"), F.coalesce(F.col("key").cast("string"), F.lit("null")), "piece").alias("container_id"), "key", "piece", "start", "size", F.col("size").alias("filled"))
     done, open_, round_ = [alone], pieces.filter("size < capacity"), 0
+    before: dict[str, int] = {}  # how many containers of each kind the last round left open
     while True:
         counts = dict(open_.groupBy("container_kind").agg(F.count("*")).collect())
         if not counts:
@@ -212,6 +223,12 @@ def pack_documents(sizes: DataFrame, key: str, size: str, containers: DataFrame,
         for k, b in blocks.items():
             last = last | (F.col("container_kind").eqNullSafe(F.lit(k)) & F.lit(b == 1))
         closed = last | (F.col("filled") >= F.col("capacity") * full)
+        under = placed.filter(~closed)
+        left = dict(under.groupBy("container_kind").agg(F.countDistinct("container_id")).collect())
+        for k in [k for k, n in left.items() if n >= before.get(k, n + 1)]:
+            own = F.col("container_kind").eqNullSafe(F.lit(k))
+            closed = closed | (own & (F.col("filled") > _emptiest(under.filter(own), block)))
+        before = left
         done.append(placed.filter(closed).drop("order"))
         open_ = placed.filter(~closed).drop("container_id", "filled")
         round_ += 1

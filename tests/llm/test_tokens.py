@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from promptloom.llm import tokens
+from promptloom.llm import packing, tokens
 from promptloom.llm.packing import LocalSearch, best_fit, pack, pack_documents
 
 PATH = tokens.tokenizer_file()
@@ -112,3 +112,21 @@ def test_pack_documents(spark):
         assert own.container_id.nunique() <= 1.04 * bound + 1
     assert set(out.container_kind) == {"s", "m"}
     assert pack_documents(sizes.limit(0), "doc_id", "n", kinds).isEmpty() and pack_documents(sizes, "doc_id", "n", kinds.limit(0)).isEmpty()
+
+
+def test_packing_ends_where_nothing_combines(spark, monkeypatch):
+    written = packing.materialise
+
+    def counted(df, name):
+        assert name != "packed-12", "rounds that close nothing go on"
+        return written(df, name)
+
+    monkeypatch.setattr(packing, "materialise", counted)
+    rows = [(i, 300) for i in range(300)] + [(1000 + i, 200) for i in range(40)] + [(2000 + i, 40) for i in range(9)]
+    kinds = spark.createDataFrame([("a", 512), ("b", 1024)], "container_kind string, capacity_tokens int")
+    out = pack_documents(spark.createDataFrame(rows, "doc_id long, n long"), "doc_id", "n", kinds, block=60).toPandas()
+    for kind, capacity, most in (("a", 512, 302), ("b", 1024, 109)):
+        own = out[out.container_kind == kind]
+        assert sorted(own.doc_id) == sorted(i for i, _ in rows) and own.groupby("container_id").tokens.sum().max() <= capacity
+        assert (own.groupby("container_id").tokens.sum() == own.groupby("container_id").filled.first()).all()
+        assert own.container_id.nunique() <= most
