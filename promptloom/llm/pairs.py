@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -145,19 +147,49 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"opening": batch["opening"], "bands": bands})
 
 
-def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In each bucket, every opening with each leader it is similar to; one that is similar to none leads itself."""
+def components(openings: list[str]) -> dict[str, str]:
+    """Each opening's head, the least of its component of links of ``SIMILAR`` or more, none of which is lost.
+
+    Similar ones share one of their rarest shingles, of which there are as many as may differ and one more; so only
+    those that share one of these are held against each other, and none with a component that it is in already.
+    """
+    each = {x: shingles(x) for x in sorted(openings)}
+    often = Counter(s for own in each.values() for s in own)
+    head: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    index: dict[int, dict[str, list[str]]] = {}  # shingle, head, those of its component that are known by the shingle
+    for opening, own in each.items():
+        head[opening] = opening
+        few = [s for s in own if often[s] > 1]
+        few = sorted(few, key=lambda s: (often[s], s))[: max(0, differing(len(own)) + 1 - (len(own) - len(few)))]
+        for s in few:
+            for theirs, members in list(index.get(s, {}).items()):
+                if root(theirs) != root(opening) and any(len(own & each[x]) >= SIMILAR * len(own | each[x]) for x in members):
+                    low, high = sorted((root(theirs), root(opening)))
+                    head[high] = low
+        for s in few:
+            groups: dict[str, list[str]] = {}
+            for theirs, members in index.get(s, {}).items():
+                groups.setdefault(root(theirs), []).extend(members)
+            groups.setdefault(root(opening), []).append(opening)
+            index[s] = groups
+    return {x: root(x) for x in each}
+
+
+def differing(n: int) -> int:
+    """How many of ``n`` shingles a similar opening may lack."""
+    return n - math.ceil(SIMILAR * n - 1e-9)
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In each bucket, every opening with the head of its component."""
     for batch in batches:
-        found: set[tuple[str, str]] = set()
-        for bucket in batch["openings"]:
-            leaders: list[tuple[str, set[int]]] = []
-            for opening in sorted(bucket):
-                own = shingles(opening)
-                near = [x for x, theirs in leaders if len(own & theirs) >= SIMILAR * len(own | theirs)]
-                found.update((opening, x) for x in near)
-                if not near:
-                    leaders.append((opening, own))
-                    found.add((opening, opening))
+        found = {x for bucket in batch["openings"] for x in components(bucket).items()}
         yield pd.DataFrame(sorted(found), columns=["opening", "head"])
 
 
@@ -168,9 +200,9 @@ BUCKET = 5_000
 def opening_classes(openings: DataFrame) -> DataFrame:
     """``opening`` (distinct) and ``template``: the least opening of its class of similar ones (Jaccard 0.8 or more).
 
-    Bands of MinHash bring candidates together; in each bucket openings are held against its leaders, so that nothing
-    is paired off. A bucket of more than ``BUCKET`` openings is split at random, and the parts' leaders are brought
-    together again in smaller ones. Classes are the components of the verified links.
+    Bands of MinHash bring candidates together; of each bucket come its components of verified links, each opening with
+    the component's head, so that nothing is paired off. A bucket of more than ``BUCKET`` openings is split at random,
+    and the parts' heads are brought together again in smaller ones. Classes are the components over all buckets.
     """
     banded = openings.select("opening").mapInPandas(_signatures, "opening string, bands array<long>").select("opening", F.explode("bands").alias("band"))
     left = materialise(banded, "bands")
@@ -179,7 +211,7 @@ def opening_classes(openings: DataFrame) -> DataFrame:
         sizes = left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
         shared = left.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("opening", F.lit(round_)), F.ceil(F.col("n") / BUCKET)))
         buckets = shared.groupBy("band", "part").agg(F.collect_list("opening").alias("openings"), F.first("n").alias("n"))
-        found = materialise(buckets.select("openings").mapInPandas(_leaders, "opening string, head string").distinct(), "links")
+        found = materialise(buckets.select("openings").mapInPandas(_linked, "opening string, head string").distinct(), "links")
         links = links.unionByName(found.filter("opening <> head"))
         split = sizes.filter(F.col("n") > BUCKET)
         if split.isEmpty():

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from promptloom.llm.language import evidence, other_language
@@ -41,6 +43,34 @@ def test_classes_equal_brute_force(spark):
     assert got == classes and len(set(got.values())) == 5
 
 
+def variants(seed, bases, each):
+    draw, out = random.Random(seed), set()
+    for b in range(bases):
+        base = [f"w{b}x{i}" for i in range(40)]
+        for _ in range(each):
+            own = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2])):
+                at = draw.choice([0, 1, len(own) - 1, draw.randrange(len(own))])
+                own[at : at + 1] = draw.choice([[], [f"v{draw.randrange(9)}"]])
+            out.add(" ".join(own))
+    return sorted(out)
+
+
+def by_brute_force(openings):
+    each, classes = {o: shingles(o) for o in openings}, {o: o for o in openings}
+    near = {o: [p for p in openings if len(each[o] & each[p]) >= 0.8 * len(each[o] | each[p])] for o in openings}
+    while (nexts := {o: min(classes[p] for p in near[o]) for o in openings}) != classes:
+        classes = nexts
+    return classes
+
+
+def test_links_to_followers_count(spark):
+    rest = "je ne peux pas répondre à cette demande"  # like both others, which aren't like each other
+    openings = [f"désolé {rest}", rest, f"malheureusement {rest}", *variants(3, 30, 12)]
+    got = {r.opening: r.template for r in opening_classes(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    assert got == by_brute_force(openings)
+
+
 @pytest.mark.parametrize("size", [400])
 def test_defects(spark, size):
     rows, want = [], {}
