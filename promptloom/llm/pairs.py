@@ -197,30 +197,47 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 BUCKET = 5_000
 
 
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        own = [sorted(shingles(x)) for x in batch["opening"]]
+        yield batch.assign(shingle=own, least=[differing(len(x)) + 1 for x in own])
+
+
+def _split(large: DataFrame) -> DataFrame:
+    """``openings`` of buckets of at most ``BUCKET``, in one of which are any two similar ones of a band of ``large``."""
+    each = large.mapInPandas(_shingled, "band long, opening string, shingle array<long>, least int")
+    each = materialise(each.select("band", "opening", "least", F.explode("shingle").alias("shingle")), "shingles")
+    often = each.groupBy("band", "shingle").agg(F.count("*").alias("n"))
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("n", "shingle"))), F.lit(1), F.first("least"))
+    rare = each.join(often, ["band", "shingle"]).groupBy("band", "opening").agg(rarest.alias("rare"))
+    rare = materialise(rare.select("band", "opening", F.explode("rare.shingle").alias("shingle")), "rare")
+    sizes = rare.groupBy("band", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    # Two parts together are as large as a bucket; each part goes to its pairs with all parts.
+    parts = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") * 2 / BUCKET)).otherwise(1)
+    parted = rare.join(sizes, ["band", "shingle"]).withColumn("parts", parts.cast("long")).withColumn("part", F.pmod(F.xxhash64("opening"), "parts"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # With one part only, it is held against itself; else a pair of parts covers what is within each.
+    parted = parted.filter((F.col("parts") == 1) | (F.col("part") != F.col("other")))
+    pair = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    return parted.groupBy("band", "shingle", *pair).agg(F.collect_list("opening").alias("openings")).select("openings")
+
+
 def opening_classes(openings: DataFrame) -> DataFrame:
     """``opening`` (distinct) and ``template``: the least opening of its class of similar ones (Jaccard 0.8 or more).
 
     Bands of MinHash bring candidates together; of each bucket come its components of verified links, each opening with
-    the component's head, so that nothing is paired off. A bucket of more than ``BUCKET`` openings is split at random,
-    and the parts' heads are brought together again in smaller ones. Classes are the components over all buckets.
+    the component's head, so that nothing is paired off. A bucket of more than ``BUCKET`` openings is split without
+    losing a link: by the rarest shingles in it, one of which similar openings share, and what is still as large into
+    parts of which each two are held against each other. Classes are the components over all buckets.
     """
     banded = openings.select("opening").mapInPandas(_signatures, "opening string, bands array<long>").select("opening", F.explode("bands").alias("band"))
     left = materialise(banded, "bands")
-    links, round_ = openings.select("opening", F.col("opening").alias("head")), 0
-    while True:
-        sizes = left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = left.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("opening", F.lit(round_)), F.ceil(F.col("n") / BUCKET)))
-        buckets = shared.groupBy("band", "part").agg(F.collect_list("opening").alias("openings"), F.first("n").alias("n"))
-        found = materialise(buckets.select("openings").mapInPandas(_linked, "opening string, head string").distinct(), "links")
-        links = links.unionByName(found.filter("opening <> head"))
-        split = sizes.filter(F.col("n") > BUCKET)
-        if split.isEmpty():
-            break
-        leading = found.filter("opening = head").select("opening").distinct()
-        nexts = materialise(left.join(split.select("band"), "band").join(leading, "opening"), "bands")
-        if nexts.count() >= left.count():  # nothing in it is similar any more
-            break
-        left, round_ = nexts, round_ + 1
+    sizes = left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = left.join(sizes.filter(F.col("n") <= BUCKET), "band").groupBy("band").agg(F.collect_list("opening").alias("openings")).select("openings")
+    large = sizes.filter(F.col("n") > BUCKET).select("band")
+    if not large.isEmpty():
+        buckets = buckets.unionByName(_split(materialise(left.join(large, "band"), "large")))
+    links = materialise(buckets.mapInPandas(_linked, "opening string, head string").distinct(), "links")
     links = links.filter("opening <> head")
     both = materialise(links.unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head"))).distinct(), "both")
     label = openings.select("opening", F.col("opening").alias("template"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from promptloom.llm import pairs
 from promptloom.llm.language import evidence, other_language
 from promptloom.llm.pairs import copies, defective_pairs, masked, opening_classes, shingles, words
 
@@ -71,6 +72,28 @@ def test_links_to_followers_count(spark):
     assert got == by_brute_force(openings)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BUCKET", 2)
+    common = [f"c{i}" for i in range(34)]  # brings many into the same buckets, though only pairs are similar
+    openings = [" ".join([*x, *common, *[f"w{i}x{j}" for j in range(8)], *y]) for i in range(120) for x, y in (([], []), (["a", "b", "c"], ["x", "y", "z"]))]
+    got = {r.opening: r.template for r in opening_classes(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    want = by_brute_force(openings)
+    assert got == want and len(set(want.values())) == 120
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_splits_hold_all_similar_together(spark, monkeypatch, parts):
+    openings = variants(4, 1, 60)
+    monkeypatch.setattr(pairs, "BUCKET", -(-2 * len(openings) // parts))
+    large = spark.createDataFrame([(1, o) for o in openings], "band long, opening string")
+    found = [set(r.openings) for r in pairs._split(large).collect()]
+    each = {o: shingles(o) for o in openings}
+    for i, a in enumerate(openings):
+        for b in openings[:i]:
+            if len(each[a] & each[b]) >= 0.8 * len(each[a] | each[b]):
+                assert any(a in x and b in x for x in found)
+
+
 @pytest.mark.parametrize("size", [400])
 def test_defects(spark, size):
     rows, want = [], {}
