@@ -1,4 +1,4 @@
-"""Subject areas of documents, from latent topics."""
+"""Subject areas of documents, from labelled documents' words and, for words that these lack, latent topics."""
 
 from __future__ import annotations
 
@@ -142,7 +142,9 @@ def fit_subject_model(
 
 
 class SubjectReader:
-    """Assigns subjects to texts by the share that each subject's topics have in them, and in how many sentences.
+    """Assigns subjects to texts by a naive Bayes of their words' shares, and in how many sentences.
+
+    The shares are those of ``SubjectModel.word_shares``, mostly from labels; LDA proportions of the text are not used.
 
     A subject is one of a text's if it has ``sentences`` of its sentences or more, or if it is the only one that the
     text touches at all; so one that is touched in passing is not.
