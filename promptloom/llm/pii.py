@@ -174,7 +174,7 @@ class Detector:
         for m in _ID_WITH_CUE.finditer(text):
             if self._context(text, *m.span()) == "id" and sum(c.isdigit() for c in m[0]) >= 5:
                 yield *m.span(), "id_number"
-        if sum(w in _DIGITS_SPELLED for w in words) >= 4:  # hyphens may join two
+        if sum(p in _DIGITS_SPELLED for w in words for p in (w.split("-") if "-" in w else (w,))) >= 4:  # hyphens may join any
             for m in _SPELLED.finditer(text):
                 yield *m.span(), "phone"
 

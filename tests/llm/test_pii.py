@@ -76,3 +76,8 @@ def test_redact_texts(spark):
     assert (by[9].t, by[9].t_types) == (None, None) and (by[10].t, by[10].t_types) == ("", []) and by[0].t_types == ["name"]
     assert by[11].t.startswith("[NAME ") and by[11].t.count("all is well. ") == 20_000
     assert redact_texts(df.limit(0), ["t"]).isEmpty()
+
+
+@pytest.mark.parametrize("number", ["five-five-five oh-one-two-three", "five-five-five-oh-one-two-three", "fünf-fünf null-eins zwei-drei vier-acht"])
+def test_hyphens_may_join_all_digit_words(number):
+    assert Detector(set(), set()).spans(f"ring {number}, please") == [(5, 5 + len(number), "phone")]
