@@ -73,12 +73,13 @@ class SubjectModel:
 def fit_subject_model(
     documents: DataFrame, labels: DataFrame, subjects: list[str], vocabulary_size: int = 20_000, topics_each: int = 6, passes: int = 3, batches: int = 10, seed: int = 3
 ) -> SubjectModel | None:
-    """Fit latent Dirichlet topics on all documents and map each topic to a subject.
+    """Fit latent Dirichlet topics on samples of the documents and map each topic to a subject.
 
     ``documents`` has key and text, ``labels`` key and subject. The vocabulary are the words of most documents, but
     for those that labelled documents of all subjects share, which tell nothing. Topics are fitted by online
-    variational Bayes, ``passes`` times over all documents in ``batches`` parts. A topic's top terms are held against
-    the labelled documents they occur in; it goes to the subject that most of their weight speaks for, or to none.
+    variational Bayes on ``passes`` x ``batches`` samples, each one ``batches``-th of all documents, drawn by Spark with
+    replacement; so with 3 passes about 5 % are in none. A topic's top terms are held against the labelled documents
+    they occur in; it goes to the subject that most of their weight speaks for, or to none.
     Collected are the vocabulary, its counts by subject, and the topics, whose sizes are parameters.
     """
     from pyspark.ml.clustering import LDA
