@@ -1,195 +1,413 @@
-"""Subject areas of documents, from labelled documents' words and, for words that these lack, latent topics."""
+"""Subject areas of documents, from the proportions of latent topics in them."""
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.sources import materialise
 
-_NOT_LETTERS = r"[^\p{L}\p{M}]+"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?…。])[\"'”’»)]*\s+|\n+")
 
+#: Words of the vocabulary whose sums travel in one row.
+SLICE = 4_096
+#: Entries (documents x words) that the topics are inferred for at once, which bounds a worker's memory.
+ENTRIES = 1 << 15
+#: Distinct words that a task counts before it hands the counts on.
+HELD = 500_000
 
-def _words() -> F.Column:
-    return F.filter(F.split(F.lower("text"), _NOT_LETTERS), lambda w: F.length(w) >= 3)
+
+# Words ----------------------------------------------------------------------------------------------------------------
+
+READ = "kind int, key {kind}, words array<long>, h long, word string, n long"
+
+
+def _hashed(word: str) -> int:
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = _hashed(word) or 1
+        return h
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text its words' hashes, a 0 behind each sentence; and in how many of this task's texts each word is."""
+    columns = ["kind", "key", "words", "h", "word", "n"]
+    hashes, seen = _Hashes(), {}
+
+    def counted() -> pd.DataFrame:
+        rows = [(1, None, None, hashes[w], w, k) for w, k in seen.items()]
+        return pd.DataFrame(rows, columns=columns)
+
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["key"], batch["text"]):
+            words, own = [], set()
+            for sentence in _SENTENCE.split(text.lower()):
+                if found := _WORD.findall(sentence):
+                    words += [hashes[w] for w in found]
+                    words.append(0)
+                    own.update(found)
+            if words:
+                rows.append((0, key, words, None, None, None))
+                for w in own:
+                    seen[w] = seen.get(w, 0) + 1
+        out = pd.DataFrame(rows, columns=columns)
+        yield out.astype({"h": "Int64", "n": "Int64"})
+        if len(seen) > HELD or len(hashes) > HELD:
+            yield counted()
+            hashes, seen = _Hashes(), {}
+    yield counted()
+
+
+def _coded(shared):
+    """Distinct words of each document by their number in the vocabulary, how often each comes, and all words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, numbers = shared.value
+        for batch in batches:
+            words = batch.column("words")
+            flat = words.flatten().to_numpy(zero_copy_only=False)
+            sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.minimum(np.searchsorted(order, flat), len(order) - 1)
+            code = np.where(order[at] == flat, numbers[at], -2)
+            code[flat == 0] = -1
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            known = code >= 0
+            pair, back, n = np.unique(doc[known] * len(order) + code[known], return_inverse=True, return_counts=True)
+            owner = pair // len(order)
+            first = np.searchsorted(owner, np.arange(len(sizes)))
+            place = np.full(len(code), -1)
+            place[known] = back - first[doc[known]]
+            kept = known | (code == -1)
+            ends = np.append(first, len(owner))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"), _lists(pair % len(order), ends), _lists(n, ends),
+                    _lists(place[kept], np.append(0, np.cumsum(np.bincount(doc[kept], minlength=len(sizes))))),
+                ],
+                ["key", "ids", "counts", "places"],
+            )
+
+    return run
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+# Topics ---------------------------------------------------------------------------------------------------------------
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """By its recurrence and the series for large values; to about seven digits above 0.01."""
+    out, y = np.zeros_like(x), x.copy()
+    for _ in range(5):
+        out -= 1 / y
+        y += 1
+    i = 1 / (y * y)
+    return out + np.log(y) - 0.5 / y - i * (1 / 12 - i * (1 / 120 - i / 252))
+
+
+def word_weights(stats: np.ndarray, eta: float) -> np.ndarray:
+    """exp E[log p(word | topic)] for the words' expected counts (words x topics)."""
+    own = stats + eta
+    return np.exp(digamma(own) - digamma(own.sum(axis=0))).astype(np.float32)
+
+
+def infer(weights: np.ndarray, counts: np.ndarray, alpha: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Variational topic counts of documents, and the factors that split each document's words among the topics.
+
+    ``weights`` (documents, words, topics) are those of each document's words, ``counts`` (documents, words) how often
+    each comes, 0 for padding.
+    """
+    gamma = np.full((len(counts), weights.shape[2]), alpha, dtype=np.float32) + counts.sum(axis=1, keepdims=True) / weights.shape[2]
+    for _ in range(steps):
+        theta = np.exp(digamma(gamma)).astype(np.float32)
+        ratio = counts / (np.matmul(weights, theta[:, :, None])[:, :, 0] + np.float32(1e-30))
+        gamma = np.float32(alpha) + theta * np.matmul(ratio[:, None, :], weights)[:, 0, :]
+    return gamma, np.exp(digamma(gamma)).astype(np.float32)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of similar length together: their numbers in the batch, words and counts, padded with counts of 0."""
+    ids, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "counts"))
+    sizes = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.searchsorted(sizes[order], 1) :]
+    at = 0
+    while at < len(order):
+        # The longest decides the width; so take as many as fit with the longest among them.
+        width = np.arange(1, len(order) - at + 1) * sizes[order[at:]]
+        own = order[at : at + max(1, int(np.searchsorted(width, ENTRIES, side="right")))]
+        n = int(sizes[own[-1]])
+        inside = np.arange(n) < sizes[own][:, None]
+        take = np.where(inside, starts[own][:, None] + np.arange(n), starts[own][:, None])
+        yield own, ids[take], np.where(inside, counts[take], 0).astype(np.float32)
+        at += len(own)
+
+
+def _summed(coded: DataFrame, size: int, width: int, each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum (``size`` x ``width``) over all documents of what ``each`` gives for a block's words.
+
+    As many tasks as the cluster runs at once hold one matrix each; its slices are added up by an exchange, so the driver
+    gets one matrix, whatever the number of tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, width))
+        for batch in batches:
+            for _, ids, counts in _blocks(batch):
+                order = np.argsort(ids, axis=None, kind="stable")
+                sorted_ids = ids.ravel()[order]
+                starts = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+                total[sorted_ids[starts]] += np.add.reduceat(each(ids, counts).reshape(-1, width)[order], starts, axis=0)
+        slices = [k for k in range(0, size, SLICE) if total[k : k + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([total[k : k + SLICE].tobytes() for k in slices], pa.binary())], ["slice", "sums"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "sums": [sum(np.frombuffer(x) for x in group["sums"]).tobytes()]})
+
+    parts = coded.sparkSession.sparkContext.defaultParallelism
+    partial = coded.select("ids", "counts").coalesce(parts).mapInArrow(run, "slice int, sums binary")
+    out = np.zeros((size, width))
+    for k, sums in partial.groupBy("slice").applyInPandas(add, "slice int, sums binary").collect():
+        out[k : k + SLICE] = np.frombuffer(sums).reshape(-1, width)
+    return out
+
+
+def word_groups(vectors: np.ndarray, weight: np.ndarray, groups: int, seed: int, steps: int = 25) -> np.ndarray:
+    """The group of each word: spherical k-means of the words' contexts, started from far-apart heavy words."""
+    draw = np.random.default_rng(seed)
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    centres = vectors[[int(np.argmax(weight))]]
+    away = np.maximum(1 - vectors @ centres[0], 0)
+    while len(centres) < min(groups, len(vectors)):
+        p = weight * away**2
+        if p.sum() <= 1e-9:
+            break
+        tried = draw.choice(len(weight), size=8, p=p / p.sum())
+        left = [np.minimum(away, np.maximum(1 - vectors @ vectors[j], 0)) for j in tried]
+        best = int(np.argmin([(weight * x).sum() for x in left]))
+        centres, away = np.vstack([centres, vectors[tried[best]]]), left[best]
+    for _ in range(steps):
+        group = (vectors @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, group, vectors * weight[:, None])
+        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(lengths > 0, sums / np.maximum(lengths, 1e-12), centres)
+    return (vectors @ centres.T).argmax(axis=1)
 
 
 @dataclass
 class SubjectModel:
-    """Topics of a fitted model, each with the subject it was mapped to, and what follows for words."""
+    """Topics fitted on all documents, each with the subject that its top terms speak for."""
 
     subjects: list[str]
     vocabulary: list[str]
-    topics: np.ndarray  # topics x words, rows sum to 1
-    weight: np.ndarray  # of each topic in the corpus
+    stats: np.ndarray  # words x topics, expected counts
     mapped: np.ndarray  # subject of each topic, -1 for none
-    support: np.ndarray  # share of its subject in a topic's top terms
-    told: dict[str, np.ndarray]  # of each word, in how many labelled documents of each subject it is
-    lda: object = None
-
-    def word_shares(self, trust: float = 2.0) -> dict[str, np.ndarray]:
-        """Of each word, how likely it comes from a topic of each subject, the last from a topic of none.
-
-        A topic may hold words of two subjects; so what labelled documents tell of a word is set against its topics',
-        which count as ``trust`` documents.
-        """
-        n = len(self.subjects)
-        joint = self.topics * self.weight[:, None]
-        own = np.zeros((len(self.vocabulary), n + 1))
-        for k, s in enumerate(self.mapped):
-            own[:, s if s >= 0 else n] += joint[k]
-        own /= np.maximum(own.sum(axis=1, keepdims=True), 1e-300)
-        base = self.base
-        out = {}
-        for i, w in enumerate(self.vocabulary):
-            shares = own[i] * trust
-            if w in self.told:
-                lifted = self.told[w] / base
-                shares[:n] += self.told[w].sum() * lifted / lifted.sum()
-            out[w] = (shares / shares.sum()).astype(np.float32)
-        return out
+    support: np.ndarray  # share of its subject in what a topic's top terms say
+    coded: DataFrame | None = None  # the documents in the vocabulary
+    alpha: float = 0.1
+    eta: float = 0.01
 
     @property
-    def base(self) -> np.ndarray:
-        total = np.maximum(sum(self.told.values(), np.zeros(len(self.subjects))), 1.0)
-        return total / total.sum()
+    def weight(self) -> np.ndarray:
+        """Of each topic, its part of the corpus."""
+        return self.stats.sum(axis=0) / max(self.stats.sum(), 1e-300)
 
     def top_terms(self, n: int = 20) -> list[tuple[int, str | None, float, float, list[str]]]:
-        order = np.argsort(-self.topics, axis=1)[:, :n]
+        lead = leading(self.stats, self.eta)
+        order = np.argsort(-lead, axis=0)[:n]
         return [
-            (k, self.subjects[s] if s >= 0 else None, float(self.support[k]), float(self.weight[k]), [self.vocabulary[i] for i in order[k]])
+            (k, self.subjects[s] if s >= 0 else None, float(self.support[k]), float(self.weight[k]), [self.vocabulary[i] for i in order[:, k]])
             for k, s in enumerate(self.mapped)
         ]
 
 
-def fit_subject_model(
-    documents: DataFrame, labels: DataFrame, subjects: list[str], vocabulary_size: int = 20_000, topics_each: int = 6, passes: int = 3, batches: int = 10, seed: int = 3
-) -> SubjectModel | None:
-    """Fit latent Dirichlet topics on samples of the documents and map each topic to a subject.
-
-    ``documents`` has key and text, ``labels`` key and subject. The vocabulary are the words of most documents, but
-    for those that labelled documents of all subjects share, which tell nothing. Topics are fitted by online
-    variational Bayes on ``passes`` x ``batches`` samples, each one ``batches``-th of all documents, drawn by Spark with
-    replacement; so with 3 passes about 5 % are in none. A topic's top terms are held against the labelled documents
-    they occur in; it goes to the subject that most of their weight speaks for, or to none.
-    Collected are the vocabulary, its counts by subject, and the topics, whose sizes are parameters.
+def leading(stats: np.ndarray, eta: float) -> np.ndarray:
+    """How much each word sets a topic apart from the corpus: p(word | topic) log of its lift."""
+    own = (stats + eta) / (stats + eta).sum(axis=0)
+    corpus = (own * (stats.sum(axis=0) / max(stats.sum(), 1e-300))).sum(axis=1, keepdims=True)
+    return own * np.log(np.maximum(own / np.maximum(corpus, 1e-300), 1e-9))
+
+
+def map_topics(stats: np.ndarray, eta: float, told: np.ndarray, terms: int = 20, least: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """(subject of each topic or -1, support), by looking up each topic's ``terms`` top terms.
+
+    ``told`` (words x subjects) says in how many documents of a subject's examples each word is. A term speaks for the
+    subjects whose examples hold it more than others do; a topic gets the one that ``least`` of its terms' weight is for.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizerModel
+    base = np.maximum(told.sum(axis=0), 1.0)
+    base = base / base.sum()
+    lead = leading(stats, eta)
+    mapped, support = np.full(stats.shape[1], -1), np.zeros(stats.shape[1])
+    for k in range(stats.shape[1]):
+        votes = np.zeros(told.shape[1])
+        for i in np.argsort(-lead[:, k])[:terms]:
+            if told[i].sum() and lead[i, k] > 0:
+                lifted = told[i] / base
+                votes += lead[i, k] * lifted / lifted.sum()
+        if votes.sum():
+            votes /= votes.sum()
+            support[k] = votes.max()
+            mapped[k] = int(votes.argmax()) if votes.max() >= least else -1
+    return mapped, support
+
 
+def fit_subject_model(
+    documents: DataFrame, labels: DataFrame, subjects: list[str], topics_each: int = 10, passes: int = 2, steps: int = 5,
+    share: float = 1 / 5_000, dimensions: int = 128, alpha: float = 0.1, eta: float = 0.01, seed: int = 3,
+) -> SubjectModel | None:
+    """Fit ``topics_each`` latent Dirichlet topics for each subject on all documents, and name them.
+
+    ``documents`` has key and text, ``labels`` key and subject. Each text is split into words once. The vocabulary are
+    the words of three documents and of ``share`` of them or more, so there are at most (distinct words of a document) /
+    ``share``, however many documents there are; rarer words have no part in a topic.
+
+    Topics begin as groups of words with like contexts: the sums, over all documents, of a random projection of the other
+    words in the document, weighted for rarity. Then come ``passes`` rounds of variational Bayes over all documents, each a
+    distributed E step with ``steps`` inner steps and one M step. No labels have a part in this. A topic is named by
+    what its top terms say; labels serve as the examples in which these are looked up.
+
+    Collected are the vocabulary, and matrices of its words by ``dimensions``, topics or subjects.
+    """
     spark = documents.sparkSession
-    worded = documents.filter("text IS NOT NULL").select("key", _words().alias("words")).filter(F.size("words") > 0)
-    n = worded.count()
-    if not n:
+    kind = documents.schema["key"].dataType.simpleString()
+    read = materialise(documents.select("key", "text").dropna(subset=["text"]).mapInPandas(_read, READ.format(kind=kind)), "words")
+    n = read.filter("kind = 0").count()
+    counts = read.filter("kind = 1").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n")).filter(F.col("n") >= max(3, math.ceil(share * n)))
+    found = sorted((r["word"], r["h"], r["n"]) for r in counts.collect())
+    if not found:
         return None
-    seen = worded.select("key", F.explode(F.array_distinct("words")).alias("word"))
-    frequent = seen.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") >= 3)
-    top = frequent.orderBy(F.desc("df"), "word").limit(vocabulary_size).collect()
-    told = (
-        labels.filter(F.col("subject").isin(subjects)).dropDuplicates(["key", "subject"])
-        .join(seen, "key").groupBy("word", "subject").agg(F.count("*").alias("n"))
-        .join(frequent.orderBy(F.desc("df"), "word").limit(vocabulary_size).select("word"), "word").collect()
-    )
-    at = {s: i for i, s in enumerate(subjects)}
-    counts: dict[str, np.ndarray] = {}
-    for r in told:
-        counts.setdefault(r["word"], np.zeros(len(subjects)))[at[r["subject"]]] += r["n"]
-    base = np.maximum(sum(counts.values(), np.zeros(len(subjects))), 1.0)
-    base /= base.sum()
-
-    even = 1 / max(1, len(subjects))
-
-    def general(word: str) -> bool:
-        """In labelled documents of all subjects alike."""
-        own = counts.get(word)
-        if own is None or own.sum() < 8:
-            return False
-        lifted = own / base
-        return (lifted / lifted.sum()).max() < even + 0.28 * (1 - even)
-
-    vocabulary = sorted(r["word"] for r in top if not general(r["word"]))
-    if not vocabulary:
-        return None
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "words", "features").transform(worded)
-    vectors = materialise(vectors.select("features"), "topics")
+    vocabulary = [w for w, _, _ in found]
+    hashes, df = np.array([h for _, h, _ in found]), np.array([k for _, _, k in found], dtype=np.float64)
+    order = np.argsort(hashes)
+    shared = spark.sparkContext.broadcast((hashes[order], order))
+    coded = read.filter("kind = 0").select("key", "words").mapInArrow(_coded(shared), f"key {kind}, ids array<int>, counts array<int>, places array<int>")
+    coded = materialise(coded, "coded")
+
+    size = len(vocabulary)
+    rarity = np.log(np.maximum(n / df, 1.0)) ** 2
+    projected = (np.random.default_rng(seed).standard_normal((size, dimensions)) * rarity[:, None] / math.sqrt(dimensions)).astype(np.float32)
+    sent = spark.sparkContext.broadcast(projected)
+
+    def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each word, the projected other words of its document; and how often it comes."""
+        here = (counts > 0).astype(np.float32)[:, :, None]
+        own = sent.value[ids] * here
+        others = (own.sum(axis=1, keepdims=True) - own) * here / np.maximum(here.sum(axis=1, keepdims=True), 1)
+        return np.concatenate([others, counts[:, :, None]], axis=2)
+
+    sums = _summed(coded, size, dimensions + 1, contexts)
+    total = sums[:, -1]
     k = topics_each * max(1, len(subjects))
-    lda = LDA(k=k, optimizer="online", maxIter=passes * batches, subsamplingRate=1 / batches, seed=seed, docConcentration=[0.1], topicConcentration=0.01, optimizeDocConcentration=False, learningOffset=10.0, learningDecay=0.6)
-    model = lda.fit(vectors)
-    raw = model.topicsMatrix().toArray().T
-    weight = raw.sum(axis=1) / raw.sum()
-    topics = raw / np.maximum(raw.sum(axis=1, keepdims=True), 1e-300)
-    mapped, support = np.full(k, -1), np.zeros(k)
-    for t in range(k):
-        votes = np.zeros(len(subjects))
-        for i in np.argsort(-topics[t])[:40]:
-            own = counts.get(vocabulary[i])
-            if own is not None and own.sum() >= 2:
-                p = own / base
-                votes += topics[t][i] * p / p.sum()
-        if votes.sum() > 0:
-            votes /= votes.sum()
-            support[t] = votes.max()
-            if votes.max() >= 0.4:
-                mapped[t] = int(votes.argmax())
-    return SubjectModel(subjects, vocabulary, topics, weight, mapped, support, counts, model)
+    group = word_groups(sums[:, :-1], df * rarity + 1e-9, k, seed)
+    stats = np.tile(0.15 * total[:, None] / k, (1, k))
+    stats[np.arange(size), group] += 0.85 * total
+    for _ in range(passes):
+        weights = spark.sparkContext.broadcast(word_weights(stats, eta))
+
+        def expected(ids: np.ndarray, counts: np.ndarray, weights=weights) -> np.ndarray:
+            """Of each word's occurrences, how many come from each topic."""
+            own = weights.value[ids]
+            _, theta = infer(own, counts, alpha, steps)
+            own *= theta[:, None, :]
+            own *= (counts / (own.sum(axis=2) + np.float32(1e-30)))[:, :, None]
+            return own
+
+        stats = _summed(coded, size, k, expected)
 
+    at = {s: i for i, s in enumerate(subjects)}
+    examples = labels.filter(F.col("subject").isin(subjects)).dropDuplicates(["key", "subject"])
+    told = np.zeros((size, len(subjects)))
+    for r in examples.join(coded.select("key", F.explode("ids").alias("id")), "key").groupBy("id", "subject").agg(F.count("*").alias("n")).collect():
+        told[r["id"], at[r["subject"]]] = r["n"]
+    mapped, support = map_topics(stats, eta, told) if len(subjects) else (np.full(k, -1), np.zeros(k))
+    return SubjectModel(subjects, vocabulary, stats, mapped, support, coded, alpha, eta)
 
-class SubjectReader:
-    """Assigns subjects to texts by a naive Bayes of their words' shares, and in how many sentences.
 
-    The shares are those of ``SubjectModel.word_shares``, mostly from labels; LDA proportions of the text are not used.
+# Assignment -----------------------------------------------------------------------------------------------------------
+
 
-    A subject is one of a text's if it has ``sentences`` of its sentences or more, or if it is the only one that the
-    text touches at all; so one that is touched in passing is not.
+class SubjectReader:
+    """Gives documents the subjects of the topics that are inferred for them.
+
+    A document's topic proportions, and by them each of its words' topics, are inferred from its words; by the topics'
+    subjects they give its subject proportions, and those of each sentence. A subject is one of the document's if
+    ``sentences`` of its sentences or more are about it, or if it is the only one that the document touches at all; so one
+    that is touched in passing is not. A sentence is about a subject that ``lead`` of its subject proportions are of.
     """
 
-    def __init__(self, subjects: list[str], shares: dict[str, np.ndarray], sentences: int = 2):
-        self.subjects, self.least = subjects, sentences
-        self.shares = {w: s[:-1] for w, s in shares.items() if s[:-1].max() >= 0.4}
-        self.logs = {w: np.log(s + 0.005) for w, s in self.shares.items()}
-
-    def sentence_counts(self, text: str) -> np.ndarray:
-        """How many sentences are about each subject."""
-        told = []
-        for sentence in _SENTENCE.split(text):
-            found = [w for w in _WORD.findall(sentence.lower()) if w in self.logs]
-            if found:
-                told.append(found)
-        counts = np.zeros(len(self.subjects), dtype=int)
-        if not told:
-            return counts
-        proportions = np.mean([self.shares[w] for found in told for w in found], axis=0)
-        prior = 0.5 * np.log(proportions + 0.02)
-        for found in told:
-            total = prior + np.sum([self.logs[w] for w in found], axis=0)
-            p = np.exp(total - total.max())
-            if 1 / p.sum() >= 0.6:
-                counts[int(total.argmax())] += 1
-        return counts
-
-    def assign(self, text: str | None) -> list[tuple[str, float]]:
-        """The text's subjects, each with its share of the sentences that are about any."""
-        counts = self.sentence_counts(text or "")
-        total = int(counts.sum())
-        return [(s, k / total) for s, k in zip(self.subjects, counts.tolist()) if k >= self.least or (k and k == total)]
+    def __init__(self, model: SubjectModel, sentences: int = 2, lead: float = 0.6, steps: int = 8):
+        self.subjects, self.alpha, self.sentences, self.lead, self.steps = model.subjects, model.alpha, sentences, lead, steps
+        self.weights = word_weights(model.stats, model.eta)
+        self.of = np.zeros((len(model.mapped), len(model.subjects)), dtype=np.float32)
+        for k, s in enumerate(model.mapped):
+            if s >= 0:
+                self.of[k, s] = 1
+
+    def proportions(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each word of each document, the subjects of its topics (the rest of 1 is of topics without one)."""
+        own = self.weights[ids]
+        _, theta = infer(own, counts, self.alpha, self.steps)
+        own *= theta[:, None, :]
+        return np.matmul(own, self.of) / (own.sum(axis=2, keepdims=True) + np.float32(1e-30))
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document's number in the batch, subject's number, share) of all that are assigned."""
+        n = len(self.subjects)
+        sizes = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        of_word = np.zeros((int(sizes.sum()), n), dtype=np.float32)
+        of_document = np.zeros((len(sizes), n))
+        for own, ids, counts in _blocks(batch):
+            parts = self.proportions(ids, counts)
+            inside = counts > 0
+            of_word[(starts[own][:, None] + np.arange(ids.shape[1]))[inside]] = parts[inside]
+            of_document[own] = (parts * counts[:, :, None]).sum(axis=1)
+        places = batch.column("places")
+        flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = places.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(sizes)), lengths)
+        sentence = np.cumsum(flat < 0) - (flat < 0)
+        words = flat >= 0
+        numbers, begins = np.unique(sentence[words], return_index=True)
+        counts = np.zeros((len(sizes), n), dtype=np.int64)
+        if len(numbers) and n:
+            mass = np.add.reduceat(of_word[starts[doc[words]] + flat[words]], begins, axis=0)
+            best = mass.argmax(axis=1)
+            most = mass[np.arange(len(mass)), best]
+            about = (most >= 0.5) & (most >= self.lead * mass.sum(axis=1))
+            np.add.at(counts, (doc[words][begins][about], best[about]), 1)
+        told = counts.sum(axis=1, keepdims=True)
+        at, subject = np.nonzero((counts >= self.sentences) | ((counts > 0) & (counts == told)))
+        return at, subject, of_document[at, subject] / np.maximum(of_document.sum(axis=1), 1e-30)[at]
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame, key: str, text: str, subjects: list[str], **options) -> DataFrame:
-    """``key``, subject and share of each subject that each document is about.
+    """``key``, subject and share (of the document's subject proportions) of each subject that each document is about.
 
     ``labels`` has ``key`` and subject of documents labelled by hand, some of them wrongly; it may hold keys that
-    ``documents`` lacks, repeated rows, and subjects that are not in ``subjects``, which are not used. A null, empty or
-    blank text, or one without a word that tells, has no subject and no row. Repeated rows come out once. Without
-    labels no topic can be mapped, and no row comes out. Other columns, whatever their names, are not read. A text of
-    any length is read whole.
+    ``documents`` lacks, repeated rows, and subjects that are not in ``subjects``, which are not used. Labels only name
+    topics. A null, empty or blank text, or one without a word that tells, has no subject and no row. Repeated rows
+    come out once. Without labels no topic can be named, and no row comes out. Other columns, whatever their names, are
+    not read. A text of any length is read whole.
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
@@ -198,12 +416,21 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, key: str, text: str
     schema = f"key {kind}, subject string, share double"
     if model is None:
         return spark.createDataFrame([], schema).withColumnRenamed("key", key)
-    shared = spark.sparkContext.broadcast((model.subjects, model.word_shares()))
+    return read_subjects(model).withColumnRenamed("key", key)
+
+
+def read_subjects(model: SubjectModel) -> DataFrame:
+    """key, subject and share of each subject of the documents that ``model`` was fitted on."""
+    coded, model.coded = model.coded, None  # a table can't be sent to workers
+    shared = coded.sparkSession.sparkContext.broadcast(SubjectReader(model))
+    model.coded = coded
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = SubjectReader(*shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = shared.value
+        names = np.array(reader.subjects, dtype=object)
         for batch in batches:
-            found = [(k, *x) for k, t in zip(batch["key"], batch["text"]) for x in reader.assign(t)]
-            yield pd.DataFrame(found, columns=["key", "subject", "share"])
+            at, subject, share = reader.read(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(names[subject], pa.string()), pa.array(share)], ["key", "subject", "share"])
 
-    return rows.filter("text IS NOT NULL").mapInPandas(run, schema).distinct().withColumnRenamed("key", key)
+    kind = coded.schema["key"].dataType.simpleString()
+    return coded.mapInArrow(run, f"key {kind}, subject string, share double").dropDuplicates(["key", "subject"])
