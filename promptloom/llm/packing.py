@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 from promptloom.sources import materialise
 
 PACKED = "container_kind string, capacity int, container_id string, key {kind}, piece int, start long, size int, filled int"
-#: Bins beyond those above the bound that a pass works on, and passes in a row that may empty none.
-SPARE, PATIENCE = 8, 3
 #: Items that one task packs at once.
 BLOCK = 20_000
 MAX_KINDS = 1_000
@@ -40,24 +38,28 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 class LocalSearch:
     """Exchanges between underfull bins that raise the sum of squared fills, until bins run empty.
 
-    The emptiest bin is worked on: each of its items is moved into another bin's free room, or exchanged for one or two
-    smaller items there, wherever the other bin comes out fullest. A bin whose items are all gone is dropped. Each pass
-    takes as many bins, the emptiest first, as are above the bound, and ``SPARE`` more, since what one couldn't do may
-    work once another has changed. The search ends at the bound, after ``PATIENCE`` passes that empty no bin, or after
-    ``steps`` exchanges tried.
+    One of the emptiest bins is worked on: each of its items is moved into another bin's free room, or exchanged for one or
+    two smaller items there, whichever raises the squared fills most; all items, and all pairs of items of one bin, of
+    all underfull bins are looked through. A bin whose items are all gone is dropped. Each pass takes as many bins, the
+    emptiest first, as are above the bound, and ``spare`` more, since what one couldn't do may work once another has
+    changed. The search ends at the bound, after ``patience`` passes that empty no bin, or after ``steps`` exchanges. These
+    three bound its effort; all items are packed whatever they are.
     """
 
-    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int, steps: int = 20_000):
-        self.sizes, self.capacity, self.steps = sizes.astype(np.int64), capacity, steps
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int, steps: int = 20_000, spare: int = 8, patience: int = 3):
+        self.sizes, self.capacity, self.steps, self.spare, self.patience = sizes.astype(np.int64), capacity, steps, spare, patience
         self.bins = [list(b) for b in bins]
         self.fill = np.array([int(self.sizes[b].sum()) for b in self.bins], dtype=np.int64)
+        # Items of underfull bins, ordered by bin and, within it, by size: one number for both.
+        self.unit = capacity + 1
+        self.items = np.array([i for b, own in enumerate(self.bins) if self.fill[b] < capacity for i in own], dtype=np.int64)
+        self.where = np.array([b for b, own in enumerate(self.bins) if self.fill[b] < capacity for _ in own], dtype=np.int64)
+        self.rank = self.where * self.unit + self.sizes[self.items] if len(self.items) else np.zeros(0, dtype=np.int64)
+        self._sort()
 
-    def _lists(self, skip: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Items in underfull bins, and their bins."""
-        own = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity and b not in skip]
-        items = np.array([i for b in own for i in self.bins[b]], dtype=np.int64)
-        where = np.array([b for b in own for _ in self.bins[b]], dtype=np.int64)
-        return items, where
+    def _sort(self) -> None:
+        order = np.argsort(self.rank, kind="stable")
+        self.items, self.where, self.rank = self.items[order], self.where[order], self.rank[order]
 
     def _exchange(self, b: int, item: int, others: list[int], c: int) -> None:
         self.bins[b].remove(item)
@@ -68,58 +70,61 @@ class LocalSearch:
         moved = int(self.sizes[item]) - int(self.sizes[others].sum() if others else 0)
         self.fill[b] -= moved
         self.fill[c] += moved
+        kept = ~np.isin(self.where, (b, c))
+        own = [(x, i) for x in (b, c) if self.fill[x] < self.capacity for i in self.bins[x]]
+        where, items = np.array([x for x, _ in own], dtype=np.int64), np.array([i for _, i in own], dtype=np.int64)
+        self.where, self.items = np.append(self.where[kept], where), np.append(self.items[kept], items)
+        self.rank = np.append(self.rank[kept], where * self.unit + self.sizes[items])
+        self._sort()
 
     def _improve(self, b: int) -> bool:
-        """One exchange that takes volume out of bin ``b``."""
-        free = self.capacity - self.fill
-        best: tuple[int, int, int, list[int]] | None = None  # volume moved, item, bin, items back
-        items, where = self._lists({b})
-        if not len(items):
+        """The best exchange that takes volume out of bin ``b``."""
+        best, found = 0, None  # gain in squared fills; item, bin, items back
+        n = len(self.items)
+        if not n:
             return False
-        sizes, gaps = self.sizes[items], free[where]
+        sizes, gaps, fills = self.sizes[self.items], (self.capacity - self.fill)[self.where], self.fill[self.where]
+        other = self.where != b
+        heads = np.flatnonzero(np.append(True, self.where[1:] != self.where[:-1]))
         for size in sorted({int(self.sizes[i]) for i in self.bins[b]}, reverse=True):
             item = next(i for i in self.bins[b] if int(self.sizes[i]) == size)
-            bins = np.unique(where)
-            fits = bins[(free[bins] >= size) & (self.fill[bins] + size > self.fill[b])]
-            if len(fits):  # a move: into the bin that is left with the least room, unless this one would be the fuller
-                c = int(fits[np.argmin(free[fits])])
-                self._exchange(b, item, [], c)
-                return True
-            # One for one: a smaller item goes back; the gain of squares grows with the other bin's fill.
+            moved = np.full(len(heads), size)
+            ok = other[heads] & (moved <= gaps[heads])
+            choices = [(moved, ok, heads, None)]
             moved = size - sizes
-            ok = (moved > 0) & (moved <= gaps)
-            if ok.any():
-                gain = np.where(ok, moved * (moved + self.fill[where] - self.fill[b]), -1)
-                k = int(np.argmax(gain))
-                if gain[k] > 0 and (best is None or gain[k] > best[0]):
-                    best = (int(gain[k]), item, int(where[k]), [int(items[k])])
-            # Two for one: two neighbours by size of one bin go back.
-            order = np.lexsort((sizes, where))
-            a, z = order[:-1], order[1:]
-            pair = (where[a] == where[z]) if len(order) > 1 else np.zeros(0, dtype=bool)
-            moved2 = size - sizes[a] - sizes[z]
-            ok2 = pair & (moved2 > 0) & (moved2 <= gaps[a])
-            if ok2.any():
-                gain2 = np.where(ok2, moved2 * (moved2 + self.fill[where[a]] - self.fill[b]), -1)
-                k = int(np.argmax(gain2))
-                if gain2[k] > 0 and (best is None or gain2[k] > best[0]):
-                    best = (int(gain2[k]), item, int(where[a[k]]), [int(items[a[k]]), int(items[z[k]])])
-        if best is None:
+            choices.append((moved, other & (moved > 0) & (moved <= gaps), np.arange(n), np.zeros(n, dtype=bool)))
+            # Of each item's partners in its bin, the least that leaves room: more volume moves with a smaller pair.
+            partner = np.searchsorted(self.rank, self.where * self.unit + np.maximum(size - gaps - sizes, 0))
+            partner += partner == np.arange(n)
+            inside = (partner < n) & (self.where[np.minimum(partner, n - 1)] == self.where)
+            moved = size - sizes - sizes[np.minimum(partner, n - 1)]
+            choices.append((moved, other & inside & (moved > 0) & (moved <= gaps), np.arange(n), inside))
+            for moved, ok, at, pairs in choices:
+                if ok.any():
+                    gain = np.where(ok, moved * (moved + fills[at] - self.fill[b]), 0)
+                    k = int(np.argmax(gain))
+                    if gain[k] > best:
+                        i = int(at[k])
+                        back = [] if pairs is None else [int(self.items[i])]
+                        if pairs is not None and pairs[k]:
+                            back.append(int(self.items[partner[i]]))
+                        best, found = int(gain[k]), (item, int(self.where[i]), back)
+        if found is None:
             return False
-        self._exchange(b, best[1], best[3], best[2])
+        self._exchange(b, found[0], found[2], found[1])
         return True
 
     def run(self) -> list[list[int]]:
         least = max(1, -(-int(self.fill.sum()) // self.capacity))
         idle = 0
-        while idle < PATIENCE and self.steps > 0:
+        while idle < self.patience and self.steps > 0:
             live = [b for b in range(len(self.bins)) if self.bins[b]]
             if len(live) <= least:
                 break
             # To reach the bound as many bins must go; emptier ones stand the best chance.
             live.sort(key=lambda b: (self.fill[b], b))
             changed = False
-            for b in live[: len(live) - least + SPARE]:
+            for b in live[: len(live) - least + self.spare]:
                 while self.bins[b] and self.fill[b] < self.capacity and self.steps > 0:
                     self.steps -= 1
                     if not self._improve(b):
