@@ -45,5 +45,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_RESOLVED} SELECT target_id FROM needs WHERE available < needed",
         "p3_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+        "p7_summary": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS torn, 0::BIGINT AS overfull FROM containers WHERE capacity_tokens > 0",
         "p3_terms": f"WITH {_TERMS} SELECT term, occurrences, records, mark FROM marked",
     }

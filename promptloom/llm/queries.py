@@ -131,6 +131,18 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(sizes, "doc_id", "tokens", read_table(spark, sf_dir, "containers"))
 
 
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind, how many documents lie in containers, and how many containers or documents break a rule."""
+    packed = materialise(p7_packed(spark, sf_dir), "p7")
+    containers = packed.groupBy("container_kind", "container_id", "capacity_tokens").agg(F.sum("tokens").alias("held"), F.max("filled").alias("filled"))
+    bad = (F.col("held") > F.col("capacity_tokens")) | (F.col("held") != F.col("filled"))
+    each = containers.groupBy("container_kind").agg(F.count_if(bad).alias("overfull"))
+    whole = packed.groupBy("container_kind", "doc_id", "capacity_tokens").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.max("piece").alias("last"))
+    torn = (F.col("last") != F.col("pieces") - 1) | (F.col("pieces") != F.greatest(F.ceil(F.col("tokens") / F.col("capacity_tokens")), F.lit(1)))
+    documents = whole.groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if(torn).alias("torn"))
+    return documents.join(each, "container_kind")
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r[0] for r in read_table(spark, sf_dir, "subject_areas", "subject").dropna().distinct().orderBy("subject").collect()]
 
