@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BITS = 18
 #: What transfers and exports leave or put where they cut.
@@ -53,11 +55,16 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(_DIGITS.sub("#", text.lower()))
 
 
-def features(text: str, limit: int, glue: frozenset[str]) -> list[int]:
+#: Closing characters of a text that a model is fitted on and scores by.
+CLOSING = 2_000
+
+
+def features(text: str, limit: int, glue: frozenset[str], before: int = 0) -> list[int]:
     """Hashed features of the closing characters, the closing words, punctuation, and length against the limit.
 
-    ``glue`` are the words frequent enough to show how a sentence is built; ``limit`` is the nearest field limit at or
-    above the text's length (0: none known).
+    ``text`` is a whole text or the last ``CLOSING`` characters of one, with ``before`` characters in front of them. ``glue``
+    are the words frequent enough to show how a sentence is built; ``limit`` is the nearest field limit at or above the
+    text's length (0: none known).
     """
     tail = text[-400:]
     stripped = len(tail.rstrip())
@@ -98,9 +105,9 @@ def features(text: str, limit: int, glue: frozenset[str]) -> list[int]:
         f"q{last.count('(') > last.count(')')}{last.count(chr(34)) % 2}{text.count('```') % 2}{last.count('«') > last.count('»')}|{t}",
     ]
     if limit:
-        gap = limit - len(text)
+        gap = limit - before - len(text)
         raw.append(f"L{min(gap, 4) if gap < 4 else 'far'}|{t}")
-        raw.append(f"M{min(9, int(10 * len(text) / limit))}")
+        raw.append(f"M{min(9, int(10 * (before + len(text)) / limit))}")
     return [crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in raw]
 
 
@@ -113,7 +120,8 @@ class CutModel:
     def score(self, texts: list[str], limits: list[int]) -> np.ndarray:
         out = np.empty(len(texts))
         for i, (text, limit) in enumerate(zip(texts, limits)):
-            out[i] = self.weights[features(text, limit, self.glue)].sum() if not stand_in(text) else -50.0
+            end = text[-CLOSING:]
+            out[i] = self.weights[features(end, limit, self.glue, len(text) - len(end))].sum() if not stand_in(text) else -50.0
         return 1 / (1 + np.exp(-(out + self.bias)))
 
     @staticmethod
@@ -159,23 +167,27 @@ class CutModel:
     def fit(cls, texts: list[str], limits: list[int], counts: list[int] | None = None, seed: int = 5, epochs: int = 6, threshold: float = 0.5) -> CutModel:
         """``texts`` are a bounded sample with how often each came; see ``_intact`` for those that train the model.
 
+        Of each, as in scoring, the last ``CLOSING`` characters are looked at, and its whole length.
+
         Not cut are the intact texts, their beginnings up to the end of an inner sentence, and both without the full
         stop. Cut are their beginnings up to a random character inside a sentence, or up to a limit, some with a mark.
         """
         draw = random.Random(seed)
-        glue = cls._glue(texts)
+        glue = cls._glue([text[-CLOSING:] for text in texts])
         intact = []
-        for text, limit, whole in zip(texts, limits, cls._intact(texts, counts or [1] * len(texts))):
-            if whole and len(text.strip()) >= 12 and not text[-1:].isspace():
-                intact.append((text, limit, terminated(text)))
+        ends = [text[-CLOSING:] for text in texts]
+        for text, end, limit, whole in zip(texts, ends, limits, cls._intact(ends, counts or [1] * len(texts))):
+            if whole and len(end.strip()) >= 12 and not end[-1:].isspace():
+                intact.append((end, len(text) - len(end), limit, terminated(end)))
         rows: list[list[int]] = []
         labels: list[int] = []
 
-        def put(text: str, limit: int, cut: int) -> None:
-            rows.append(features(text, limit, glue))
-            labels.append(cut)
+        for text, before, limit, stopped in intact:
+
+            def put(part: str, limit: int, cut: int, before: int = before) -> None:
+                rows.append(features(part, limit, glue, before))
+                labels.append(cut)
 
-        for text, limit, stopped in intact:
             put(text, limit, 0)
             if stopped and text[-1] in STOPS:
                 put(text[:-1], limit, 0)
@@ -197,7 +209,7 @@ class CutModel:
                     continue
                 if draw.random() < 0.25:
                     part = part.rstrip() + draw.choice(MARKS)
-                at_limit = len(part) + (0 if draw.random() < 0.5 else draw.randrange(1, 400)) if limit and draw.random() < 0.5 else 0
+                at_limit = before + len(part) + (0 if draw.random() < 0.5 else draw.randrange(1, 400)) if limit and draw.random() < 0.5 else 0
                 put(part, at_limit, 1)
         if not rows:
             return cls(np.zeros(1 << BITS), -50.0, glue, threshold)
@@ -230,43 +242,50 @@ class CutModel:
         return w[:spare].astype(np.float32), float(bias)
 
 
-def field_limits(values: DataFrame, least: int = 8, times: float = 6.0) -> dict[tuple[str, str], list[int]]:
+def field_limits(values: DataFrame, least: int = 8, times: float = 6.0, share: float = 1e-4) -> dict[tuple[str, str], list[int]]:
     """Lengths at which the values of a source's field pile up: {(source, field): lengths}.
 
-    A length is a limit if at least ``least`` values have it, and ``times`` as many as have each of the lengths next to
-    it on average. Counted over all values; what is collected is one row for each limit, which lie three lengths apart
-    or more.
+    A length is a limit if ``least`` values or more have it, a ``share`` of the field's values or more, and ``times`` as many
+    as have each of the lengths next to it on average. Counted over all values of any length. A field has at most
+    1 / ``share`` limits, so what is collected doesn't grow with the values.
     """
-    from pyspark.sql.window import Window
-
     counts = values.filter("text IS NOT NULL").groupBy("source", "field", F.length("text").alias("n")).agg(F.count("*").alias("k"))
     near = Window.partitionBy("source", "field").orderBy("n").rangeBetween(-8, 8)
-    spikes = counts.withColumns({"around": F.sum("k").over(near), "top": F.max("k").over(near)}).filter(
-        (F.col("n") >= 40) & (F.col("k") == F.col("top")) & (F.col("k") >= least) & (F.col("k") >= times * (F.col("around") - F.col("k")) / 16)
+    spikes = counts.withColumns({"around": F.sum("k").over(near), "top": F.max("k").over(near), "all": F.sum("k").over(Window.partitionBy("source", "field"))}).filter(
+        (F.col("n") >= 40) & (F.col("k") == F.col("top")) & (F.col("k") >= least) & (F.col("k") >= share * F.col("all")) & (F.col("k") >= times * (F.col("around") - F.col("k")) / 16)
     )
     limits: dict[tuple[str, str], list[int]] = {}
-    for r in spikes.groupBy("source", "field").agg(F.sort_array(F.collect_list("n")).alias("n")).collect():
-        limits[r["source"], r["field"]] = [int(x) for x in r["n"] if x <= 1_000_000][:1000]
-    return limits
+    for r in spikes.select("source", "field", "n").collect():
+        limits.setdefault((r["source"], r["field"]), []).append(int(r["n"]))
+    return {k: sorted(v) for k, v in limits.items()}
 
 
 def limit_of(length: int, limits: list[int]) -> int:
-    return next((x for x in limits if x >= length), 0)
+    at = bisect_left(limits, length)
+    return limits[at] if at < len(limits) else 0
 
 
 def fit_cut_model(values: DataFrame, limits: dict, sample: int = 16_000, **options) -> CutModel:
-    """A model from about ``sample`` rows of ``values`` (source, field, text, and others), drawn by hash from all.
+    """A model from ``sample`` different rows of ``values`` (source, field, text, and others), those with the least hashes of all.
 
-    Only the fit is on a sample; of its texts the last 2,000 characters are looked at.
+    So the sample has that many rows, or all, whatever their number; a value that a third of the rows have is a third of
+    it. Only the fit is on a sample.
     """
-    values = values.filter("text IS NOT NULL")
-    total = values.count()
-    share = int(min(1.0, sample / max(1, total)) * 1_000_000)
-    drawn = values.filter(F.pmod(F.xxhash64(*values.columns, F.lit(11)), F.lit(1_000_000)) < share)
-    rows = drawn.groupBy("source", "field", "text").agg(F.count("*").alias("n")).limit(2 * sample).collect()
-    rows = sorted((r["source"] or "", r["field"] or "", r["text"][-2_000:], len(r["text"]), r["n"]) for r in rows)
-    limits_of = [limit_of(r[3], limits.get(r[:2], [])) for r in rows]
-    return CutModel.fit([r[2] for r in rows], limits_of, [r[4] for r in rows], **options)
+    hashed = values.filter("text IS NOT NULL").select("source", "field", "text", F.xxhash64(*values.columns, F.lit(11)).alias("h"))
+    total = hashed.count()
+    if not total:
+        return CutModel.fit([], [], [], **options)
+    least: list[int] = []
+    for part in (4 * sample / total, 1.0):  # four times as many as are needed will do, but for repeated rows
+        if len(least) < sample:
+            upto = hashed if part >= 1 else hashed.filter(F.col("h") < F.lit(int(-(2**63) + part * 2**64)))
+            least = [r["h"] for r in upto.select("h").distinct().orderBy("h").limit(sample).collect()]
+            if part >= 1:
+                break
+    drawn = hashed.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).groupBy("source", "field", "text").agg(F.count("*").alias("n"))
+    rows = sorted((r["source"] or "", r["field"] or "", r["text"], r["n"]) for r in drawn.collect())
+    limits_of = [limit_of(len(r[2]), limits.get(r[:2], [])) for r in rows]
+    return CutModel.fit([r[2] for r in rows], limits_of, [r[3] for r in rows], **options)
 
 
 def _scored(model, limits: dict, keep: float | None):
