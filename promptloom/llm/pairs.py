@@ -19,6 +19,7 @@ from promptloom.llm.truncation import CutModel, field_limits, fit_cut_model, lim
 from promptloom.sources import materialise
 
 #: Beginnings of words and phrases by which a speaker declines, by language; apostrophes read as spaces.
+#: A tie-break for templates that stand alone or have a closing to themselves, where recurrence can't say whether they answer.
 DECLINES = {
     "en": r"\b(can ?(?:no)?t|unable|not able|won t|will not|declin|not possible|permitted|not allowed|guidelines|rules i|rather not|stay away|pass on|beyond what i|outside what i|not be appropriate|left to others|something else|don t comment|no answer|stop here|prefer not|refuse|sorry|apolog)",
     "es": r"\b(no puedo|no me está|no es posible|rechaz|prefiero|fuera de lo que|lo siento|por desgracia|lamento|declin)",
@@ -37,7 +38,10 @@ _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
 
-CHECKED = "table_name string, row_id long, defect string, opening string, closing string, n_sentences int, prompt long"
+#: Least hashes of a prompt's shingles that are kept; prompts of one class (0.8) differ in all of them once in 600 times.
+LEAST = 4
+PROMPT = [f"p{i}" for i in range(LEAST)]
+CHECKED = "table_name string, row_id long, defect string, opening string, closing string, n_sentences int, " + ", ".join(f"{p} long" for p in PROMPT)
 
 
 def words(text: str) -> list[str]:
@@ -116,6 +120,18 @@ class PairChecker:
         return None, opening, closing, len(sentences)
 
 
+def least_hashes(prompt: str | None) -> tuple[int | None, ...]:
+    """Least hashes of a prompt's shingles, each under another permutation; nulls for a prompt without words."""
+    own = words(prompt) if prompt else []
+    if not own:
+        return (None,) * LEAST
+    hashes = [crc32(" ".join(own[i : i + SHINGLE]).encode()) for i in range(max(1, len(own) - SHINGLE + 1))]
+    return tuple(min((h * a + b) & 0xFFFFFFFFFFFF for h in hashes) for a, b in _PERMUTED)
+
+
+_PERMUTED = [(int(a), int(b)) for a, b in zip(_A[:LEAST], _B[:LEAST])]
+
+
 def _checked(model, limits: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         checker = PairChecker(model.value, limits)
@@ -125,7 +141,8 @@ def _checked(model, limits: dict):
             out = pd.DataFrame(rows, columns=["defect", "opening", "closing", "n_sentences"])
             out.insert(0, "table_name", b["table_name"].to_numpy())
             out.insert(1, "row_id", b["row_id"].to_numpy())
-            yield out.assign(prompt=[crc32(p.encode("utf-8", "replace")) if p else 0 for p in b["prompt"]])
+            least = [least_hashes(p) if 0 < r[3] <= BRIEF else (None,) * LEAST for p, r in zip(b["prompt"], rows)]
+            yield pd.concat([out, pd.DataFrame(least, columns=PROMPT, dtype="Int64")], axis=1)
 
     return run
 
@@ -256,38 +273,42 @@ def declines(openings: pd.Series) -> pd.Series:
     return pd.Series([bool(_DECLINE.search(x)) for x in openings], dtype=bool)
 
 
-def refusal_openings(checked: DataFrame, prompts: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``opening`` of the refusals, and ``closing`` sentences that go with them.
+def refusal_openings(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``opening`` of the refusals, and ``closing`` sentences of courtesy that go with them; told by what recurs.
 
-    A class of similar openings is a refusal if it came after ``prompts`` or more different prompts, its responses are
-    mostly brief, it has no number in it, and it either declines in words, or is mostly followed by closing sentences
-    that otherwise follow those which decline.
+    A courtesy closes brief responses of three or more classes of openings (or, of fewer, three or more that decline in
+    words), and hardly ever opens one, as a sentence with content does. A class of similar openings is a refusal if
+
+    * it came after unrelated prompts, that is, such as have none of their least hashes in common,
+    * nineteen of twenty of its responses are brief, where sentences with content also open long responses,
+    * nine of ten of these say nothing else, or nothing but a courtesy; and a tenth has one, as a short answer has not.
+
+    A class that has a courtesy less often, so that it could be a short answer, is one if it declines in words.
     """
-    brief = (F.col("n_sentences") <= BRIEF).cast("long")
-    each = checked.filter("opening IS NOT NULL").groupBy("opening").agg(
-        F.count("*").alias("n"), F.sum(brief).alias("brief"), F.min("prompt").alias("low"), F.max("prompt").alias("high")
-    )
+    short = F.col("n_sentences") <= BRIEF
+    opened = checked.filter("opening IS NOT NULL").groupBy("opening").agg(
+        F.count("*").alias("n"), F.count_if(short).alias("brief"), F.count_if(short & F.col("closing").isNull()).alias("alone"),
+        *[f(p).alias(f"{name}_{p}") for p in PROMPT for name, f in (("low", F.min), ("high", F.max))],
+    )
+    opened = materialise(opened, "openings")
     # An opening whose responses go on at length gives content, so its class is not looked for.
-    each = materialise(each.filter((F.col("brief") * 2 >= F.col("n")) & ~F.col("opening").contains("#")), "openings")
+    each = opened.filter("brief * 2 >= n")
     classed = materialise(each.join(opening_classes(each), "opening").withColumn("declines", declines("opening")), "classed")
-    template = classed.groupBy("template").agg(
-        F.sum("n").alias("n"),
-        F.sum("brief").alias("brief"),
-        F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declining"),
-        (F.min("low") < F.max("high")).alias("unrelated"),
-    )
-    recurring = template.filter((F.col("n") >= prompts) & F.col("unrelated"))
-    seeds = classed.join(recurring.filter("declining * 2 >= n").select("template"), "template").select("opening")
-    closed = checked.filter("closing IS NOT NULL AND opening IS NOT NULL").join(seeds.withColumn("seed", F.lit(1)), "opening", "left")
-    closings = closed.groupBy("closing").agg(F.count("*").alias("n"), F.count("seed").alias("after")).filter("after >= 3 AND after >= 0.6 * n").select("closing")
-    closings = materialise(closings, "closings")
-    followed = (
-        checked.filter("opening IS NOT NULL").join(closings.withColumn("close", F.lit(1)), "closing", "left")
-        .join(classed.select("opening", "template"), "opening")
-        .groupBy("template").agg(F.count("*").alias("n"), F.count("close").alias("closed")).filter("closed >= 2 AND closed * 5 >= n").select("template")
-    )
-    more = classed.join(recurring.select("template"), "template").join(followed, "template").select("opening")
-    return materialise(seeds.unionByName(more).distinct(), "refusals"), closings
+    closed = checked.filter(short & F.col("closing").isNotNull() & F.col("opening").isNotNull()).groupBy("opening", "closing").agg(F.count("*").alias("n"))
+    closed = materialise(closed.join(classed.select("opening", "template", "declines"), "opening").groupBy("template", "closing").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declining")), "closed")
+    closings = closed.groupBy("closing").agg(F.sum("n").alias("n"), F.count("*").alias("templates"), F.sum("declining").alias("declining"))
+    closings = closings.filter("templates >= 3 OR (declining >= 3 AND declining * 10 >= n * 9)")
+    opens = opened.select(F.col("opening").alias("closing"), F.col("n").alias("opens"))
+    closings = materialise(closings.join(opens, "closing", "left").filter("coalesce(opens, 0) * 20 <= n").select("closing"), "closings")
+    courteous = closed.join(closings, "closing").groupBy("template").agg(F.sum("n").alias("courteous"))
+    unrelated = F.lit(True)
+    for p in PROMPT:
+        unrelated = unrelated & (F.min(f"low_{p}") < F.max(f"high_{p}"))
+    declining = F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("declining")
+    template = classed.groupBy("template").agg(*[F.sum(c).alias(c) for c in ("n", "brief", "alone")], unrelated.alias("unrelated"), declining)
+    recurring = template.filter("unrelated AND brief * 20 >= n * 19").join(courteous, "template", "left").fillna(0, ["courteous"])
+    refusing = recurring.filter("(alone + courteous) * 10 >= brief * 9 AND (courteous * 10 >= brief OR declining * 2 >= n)")
+    return materialise(classed.join(refusing.select("template"), "template").select("opening"), "refusals"), closings
 
 
 def defective_pairs(pairs: DataFrame, sample: int = 16_000) -> DataFrame:
@@ -299,7 +320,7 @@ def defective_pairs(pairs: DataFrame, sample: int = 16_000) -> DataFrame:
 
     * empty: no part has content (null, blank, or a stand-in such as "n/a")
     * copy: nothing but the prompt again, whatever its case, white space, punctuation or a few words around it
-    * refusal: opens like responses to unrelated prompts that decline, and goes on with no more than courtesies
+    * refusal: opens as brief responses to unrelated prompts do time and again, and goes on with no more than courtesies
     * language: function words of another language than the context's; without evidence there is no case
     * truncated: the last part is cut, by the model of ``truncation``, fitted here
 
@@ -316,10 +337,12 @@ def defective_pairs(pairs: DataFrame, sample: int = 16_000) -> DataFrame:
     model = spark.sparkContext.broadcast(fit_cut_model(ends, limits, sample))
     checked = materialise(rows.mapInPandas(_checked(model, limits), CHECKED), "checked")
     refusals, closings = refusal_openings(checked)
-    brief = (F.col("n_sentences") == 1) | (F.col("courteous").isNotNull() & (F.col("n_sentences") <= BRIEF))
-    judged = (
-        checked.join(refusals.withColumn("refused", F.lit(True)), "opening", "left")
-        .join(closings.withColumn("courteous", F.lit(True)), "closing", "left")
-        .withColumn("defect", F.when(F.col("refused") & brief, "refusal").otherwise(F.col("defect")))
-    )
-    return judged.filter("defect IS NOT NULL").select("table_name", "row_id", "defect").dropDuplicates(["table_name", "row_id"])
+    # Only brief responses can be refusals; the others, and those without an opening, have no key to join on.
+    short = F.col("opening").isNotNull() & (F.col("n_sentences") <= BRIEF)
+    rest = checked.filter(~short & F.col("defect").isNotNull()).select("table_name", "row_id", "defect")
+    refusals = refusals.withColumn("refused", F.lit(True))
+    alone = checked.filter(short & F.col("closing").isNull()).join(refusals, "opening", "left").withColumn("courteous", F.lit(True))
+    closed = checked.filter(short & F.col("closing").isNotNull()).join(refusals, "opening", "left").join(closings.withColumn("courteous", F.lit(True)), "closing", "left")
+    named = F.when(F.col("refused") & F.col("courteous"), "refusal").otherwise(F.col("defect"))
+    judged = alone.unionByName(closed).select("table_name", "row_id", named.alias("defect")).filter("defect IS NOT NULL")
+    return rest.unionByName(judged).dropDuplicates(["table_name", "row_id"])

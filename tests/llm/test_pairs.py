@@ -119,3 +119,30 @@ def test_defects(spark, size):
     wrong = {i: (want[i], got.get(i)) for i in want if got.get(i) != want[i]}
     assert len(wrong) <= 0.03 * size, wrong
     assert defective_pairs(df.limit(0)).isEmpty()
+
+
+def test_refusals_are_told_by_recurrence(spark):
+    """Templates in words of no list, and content with such words; prompts of one class don't count as unrelated."""
+    draw = random.Random(4)
+    templates = ["That question lies outside my remit as it was given to me.", "Je dois m'abstenir de toute remarque sur ce dossier précis.", "As per rule 7 this desk remains silent on the matter raised.", "Silence is the only reply that this desk gives on § here."]
+    closings = ["Kindly consult a specialist of your choice.", "Wishing you a pleasant afternoon all the same.", "Another topic would be welcome."]
+    rows, want = [], {}
+    for i in range(600):
+        a, b = draw.sample(SUBJECTS, 2)
+        q = f"Question {i}: how did {a} of w{draw.randrange(10**6)} develop beside {b} in the year {draw.randrange(1500, 2000)}?"
+        more = f" The link between {a} and {b} looked weaker than the first report suggested."
+        answer, defect = [
+            (templates[i // 6 % 4].replace("§", a) + (" " + draw.choice(closings) if draw.random() < 0.6 else ""), "refusal"),
+            ("Sorry for the delay, the refund was sent and we can not find an open balance." + more * (i % 4), None),
+            ("I must decline to guess, but the figures rose by 12 percent." + more * (i % 5), None),
+            ("Yes, since then.", None), (more.strip() * 1 + more * (i % 3), None), ("It did not." + more * 4, None),
+        ][i % 6]
+        rows.append(("t", i, q, [answer], None))
+        want[i] = defect
+    again = "How did the ferry timetables of the northern islands develop beside the reading lists of all schools in the years after the great war"
+    for i in range(30):  # one prompt in variants, so its template has not recurred over unrelated ones
+        rows.append(("t", 900 + i, again + "?" * (i % 3), ["Ferries were few and the lists were short then." + (" " + closings[i % 3] if i % 2 else "")], None))
+    df = spark.createDataFrame(rows, "table_name string, row_id long, prompt string, parts array<string>, context string").repartition(3)
+    got = {r.row_id for r in defective_pairs(df).filter("defect = 'refusal'").collect()}
+    true = {i for i, d in want.items() if d == "refusal"}
+    assert len(got & true) >= 0.95 * len(true) and not got - true
