@@ -6,8 +6,9 @@ import hashlib
 import hmac
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ _ID_WORDS = r"ssn|social|tax id|taxpayer|passport|passeport|pasaporte|reisepass|
 _CUE = re.compile(rf"\b(?:(?P<no>{_NOT_PERSONAL})|(?P<id>{_ID_WORDS})|(?P<phone>{_PHONE_WORDS}))\b", re.IGNORECASE)
 _AFTER = re.compile(rf"^\W{{0,3}}(?:{_W}+ )?(?:rows?|bytes?|seats|items|lines|records|percent|filas|lignes|zeilen)\b", re.IGNORECASE)
 
+_DIGIT = re.compile(r"\d")
 _SEP = r"[ .\-/]"
 _ID_SHAPES = re.compile(
     rf"""(?<![\w\-])(?:
@@ -120,8 +122,8 @@ def name_evidence(text: str) -> Iterator[tuple[str, str]]:
     """(given name, surname) for names that stand, properly written and without a title, where a name is given."""
     if not _BEFORE_RE.search(text):
         return
-    for pattern in (_EMAIL, _ADDRESS):
-        text = pattern.sub("\x00", text)
+    for sign, pattern in ((_AT, _EMAIL), (_DIGIT, _ADDRESS)):
+        text = pattern.sub("\x00", text) if sign.search(text) else text
     for m in _BEFORE_RE.finditer(text):
         at = m.end()
         if _TITLE_RE.match(text, at):
@@ -133,13 +135,47 @@ def name_evidence(text: str) -> Iterator[tuple[str, str]]:
                 yield n[1].casefold(), n[2].casefold()
 
 
+class NameBits:
+    """A set of words as bits: holds all that were put in, whatever their number, in a size that doesn't grow.
+
+    A word that was not put in is taken for one that was at a rate of (3 words / bits)^3, below one in ten thousand up to
+    a million words of 2^26 bits.
+    """
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.seen = bits, {}
+
+    @staticmethod
+    def positions(word: str, size: int) -> list[int]:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=24).digest(), "little")
+        return [(h >> 64 * i & 0xFFFFFFFFFFFFFFFF) % size for i in range(3)]
+
+    def __contains__(self, word: str) -> bool:
+        if word not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[word] = all(self.bits[at >> 3] >> (at & 7) & 1 for at in self.positions(word, len(self.bits) * 8))
+        return self.seen[word]
+
+    def __getstate__(self):
+        return self.bits, {}
+
+    def __setstate__(self, state):
+        self.bits, self.seen = state
+
+
 class Detector:
-    """Finds the pieces of a text that are personal; ``given`` and ``surnames`` are case-folded words of known names."""
+    """Finds the pieces of a text that are personal.
+
+    ``given`` and ``surnames`` hold case-folded words of known names; ``ends``, three letters that several surnames end in.
+    """
 
-    def __init__(self, given: set[str], surnames: set[str]):
-        self.given, self.surnames = frozenset(given), frozenset(surnames)
-        ends = Counter(w[-3:] for w in surnames if len(w) >= 6)
-        self.ends = frozenset(e for e, k in ends.items() if k >= 5)
+    def __init__(self, given: Container[str], surnames: Container[str], ends: Iterable[str] | None = None):
+        self.given, self.surnames = given, surnames
+        if ends is None:
+            counts = Counter(w[-3:] for w in surnames if len(w) >= 6)
+            ends = [e for e, k in counts.items() if k >= 5]
+        self.ends = frozenset(ends)
 
     def _surname(self, word: str) -> bool:
         """Each part is a known surname, or ends like several."""
@@ -163,18 +199,18 @@ class Detector:
         return found
 
     def _numbers(self, text: str, words: list[str]) -> Iterator[tuple[int, int, str]]:
-        for m in _PHONE_SHAPES.finditer(text):
+        for m in _PHONE_SHAPES.finditer(text) if _DIGIT.search(text) else ():
             digits = sum(c.isdigit() for c in m[0])
             cue = self._context(text, *m.span())
             if 8 <= digits <= 15 and cue not in ("no", "id"):
                 yield *m.span(), "phone"
-        for m in _ID_SHAPES.finditer(text):
+        for m in _ID_SHAPES.finditer(text) if _DIGIT.search(text) else ():
             if self._context(text, *m.span()) not in ("no", "phone"):
                 yield *m.span(), "id_number"
-        for m in _ID_WITH_CUE.finditer(text):
+        for m in _ID_WITH_CUE.finditer(text) if _DIGIT.search(text) else ():
             if self._context(text, *m.span()) == "id" and sum(c.isdigit() for c in m[0]) >= 5:
                 yield *m.span(), "id_number"
-        if sum(p in _DIGITS_SPELLED for w in words for p in (w.split("-") if "-" in w else (w,))) >= 4:  # hyphens may join any
+        if not _DIGITS_SPELLED.isdisjoint(words) or any(not _DIGITS_SPELLED.isdisjoint(w.split("-")) for w in words if "-" in w):  # hyphens may join any
             for m in _SPELLED.finditer(text):
                 yield *m.span(), "phone"
 
@@ -198,7 +234,7 @@ class Detector:
     def _names(self, text: str, words: list[str]) -> Iterator[tuple[int, int, str]]:
         present = set(words)
         titled = not present.isdisjoint(_TITLE_WORDS)
-        for m in _TOKEN.finditer(text) if not present.isdisjoint(self.given) else ():
+        for m in _TOKEN.finditer(text) if any(w in self.given for w in present) else ():
             if m[0].casefold() in self.given:
                 yield *self._extend(text, m), "name"
         called = {m.end() for m in _BEFORE_RE.finditer(text)}
@@ -232,6 +268,8 @@ class Detector:
                     taken.append(s)
 
         def hidden() -> str:  # what was taken can't be read again
+            if not taken:
+                return text
             out = list(text)
             for a, b, _ in taken:
                 out[a:b] = "\x00" * (b - a)
@@ -240,7 +278,7 @@ class Detector:
         words = [w.casefold() for w in _TOKEN.findall(text)]
         if _AT.search(text):
             take((*m.span(), "email") for m in _EMAIL.finditer(text))
-        if any(c.isdigit() for c in text):
+        if _DIGIT.search(text):
             take((m.start(), self._address_end(text, m), "address") for m in _ADDRESS.finditer(hidden()) if self._is_address(m[0]))
         take(self._numbers(hidden(), words))
         take(self._names(hidden(), words))
@@ -257,26 +295,106 @@ class Detector:
         return not re.match(r"\d+ (?:of|percent|rows|bytes|users|seats|times|and|or|the)\b", found, re.IGNORECASE)
 
 
+#: Calling codes of one and two digits; all others have three.
+_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+_CODE = re.compile(rf"(?:\+|00)(?:{'|'.join(sorted(_CODES.split(), key=len, reverse=True))}|\d{{3}})(?:\W*\(0\))?|1(?=\W?[2-9]\d{{2}}\W?[2-9]\d{{2}}\W?\d{{4}}$)|0(?=\d)")
+#: Check letters of the Spanish identity number, and digits as words, by language.
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+_DIGIT_OF = {w: str(d) for own in ("zero one two three four five six seven eight nine", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun") for d, w in enumerate(own.split())} | {"oh": "0", "zwo": "2"}
+_SSN = re.compile(r"(\d{3})[- ](\d\d)[- ](\d{4})")
+_DNI_SHAPE = re.compile(r"\d{8}-?[a-z]|\d\d\.\d{3}\.\d{3}-?[a-z]", re.IGNORECASE)
+_NIR = re.compile(r"[12] \d\d \d\d \d\d \d{3} \d{3} \d\d")
+_TAX = re.compile(r"\d\d \d{3} \d{3} \d{3}")
+
+
+def _with_digits(text: str, digits: str) -> str:
+    """``text`` with its digits replaced, in order."""
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in text)
+
+
+def _ssn(digits: str) -> str | None:
+    """The digits, if a social security number may have them."""
+    return digits if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else None
+
+
+def _nir(digits: str) -> str | None:
+    """The first 13 digits with their key, if a social security number of France may have them."""
+    return digits[:13] + f"{97 - int(digits[:13]) % 97:02d}" if digits[0] in "12" and "01" <= digits[3:5] <= "12" else None
+
+
+def _tax(digits: str) -> str | None:
+    """The first ten digits with their check digit, if a tax number of Germany may have them."""
+    product = 10
+    for c in digits[:10]:
+        product = ((int(c) + product) % 10 or 10) * 2 % 11
+    return digits[:10] + str((11 - product) % 10) if digits[0] != "0" else None
+
+
+#: Kinds of number that can be validated: shape, digits that are free, and the valid number that these make.
+_CHECKED = (("ssn", _SSN, 9, _ssn), ("nir", _NIR, 13, _nir), ("tax", _TAX, 10, _tax))
+
+
+def validated(piece: str) -> bool | None:
+    """Whether the check of its kind of number says that it is valid; None for a kind without one."""
+    digits = "".join(c for c in piece if c.isdigit())
+    if _DNI_SHAPE.fullmatch(piece):
+        return piece[-1].upper() == _DNI[int(digits) % 23]
+    for _, shape, _, valid in _CHECKED:
+        if shape.fullmatch(piece):
+            return valid(digits) == digits
+    return None
+
+
 class Redactor:
     """Puts a placeholder of its type in the place of each personal piece.
 
-    Numbers are permuted within their format under ``key``, the country code apart, so the same number comes out the
-    same in every document and however it is written there; other pieces get a keyed mark of their words.
+    Numbers are permuted within their format under ``key``, so the same number comes out the same in every document and
+    however it is written there: phone numbers apart from their country code, spelled digits as digits, and numbers of
+    a kind that has a check among those that pass it. Numbers that don't pass theirs, and all other pieces, get a keyed
+    mark of 128 bits: an email of its address, a name of its words in any order, an address of its words.
     """
 
     def __init__(self, detector: Detector, key: bytes):
+        if not key:
+            raise ValueError("a key is needed")
         self.detector, self.key = detector, key
 
     def _mark(self, text: str, type_: str) -> str:
-        plain = " ".join(sorted(re.findall(r"\w+", text.casefold())))
-        return hmac.new(self.key, f"{type_}|{plain}".encode(), hashlib.sha256).hexdigest()[:10]
+        plain = text.casefold()
+        if type_ == "email":
+            plain = re.sub(r" ?[\[(] ?(?:at|dot) ?[\])] ?| (?:at|dot) | ?@ ?", lambda m: "@" if "a" in m[0] or "@" in m[0] else ".", plain)
+        else:
+            words = re.findall(r"\w+", plain)
+            plain = " ".join(sorted(w for w in words if w not in _TITLE_WORDS) if type_ == "name" else words)
+        return hmac.new(self.key, f"{type_}|{plain}".encode("utf-8", "replace"), hashlib.sha256).hexdigest()[:32]
+
+    def _number(self, piece: str, type_: str) -> str | None:
+        if type_ == "phone":
+            if not _DIGIT.search(piece):
+                piece = "".join(_DIGIT_OF.get(w, "") for w in re.findall(r"[^\W\d_]+", piece.casefold()))
+            code = _CODE.match(piece)
+            head = code[0] if code else ""
+            return head + permute_format(piece[len(head) :], self.key, type_)
+        digits = "".join(c for c in piece if c.isdigit())
+        if validated(piece) is False:
+            return None
+        if _DNI_SHAPE.fullmatch(piece):
+            other = permute_format(digits, self.key, "dni")
+            letter = _DNI[int(other) % 23]
+            return _with_digits(piece[:-1], other) + (letter if piece[-1].isupper() else letter.lower())
+        for kind, shape, free, valid in _CHECKED:
+            if shape.fullmatch(piece):
+                other = digits[:free]
+                while True:  # on until the number is valid, which stays a permutation of the valid ones
+                    other = permute_format(other, self.key, kind)
+                    if full := valid(other):
+                        return _with_digits(piece, full)
+        return permute_format(piece, self.key, type_)
 
     def placeholder(self, piece: str, type_: str) -> str:
-        if type_ in ("phone", "id_number") and any(c.isdigit() for c in piece):
-            code = re.match(r"(?:\+|00)(?:1|[2-7]\d|8\d|9\d)(?:\W*\(0\))?|1(?=\W?[2-9]\d{2}\W?[2-9]\d{2}\W?\d{4}$)|0(?=\d)", piece) if type_ == "phone" else None
-            head = code[0] if code else ""
-            return f"[{type_.upper()} {head}{permute_format(piece[len(head) :], self.key, type_)}]"
-        return f"[{type_.upper()} {self._mark(piece, type_)}]"
+        number = self._number(piece, type_) if type_ in ("phone", "id_number") else None
+        return f"[{type_.upper()} {number or self._mark(piece, type_)}]"
 
     def redact(self, text: str) -> tuple[str, list[str]]:
         out, at, types = [], 0, []
@@ -299,41 +417,68 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["role", "word"])
 
 
-def learn_names(texts: DataFrame, columns: list[str], least: int = 3, most: int = 100_000) -> dict[str, set[str]]:
-    """Given names and surnames that stand at least ``least`` times where a person gives a name, counted over all texts.
+def learn_names(texts: DataFrame, columns: list[str], least: int = 3, log2_bits: int = 26) -> tuple[NameBits, NameBits, list[str]]:
+    """Given names, surnames and surnames' ends, from where a person gives a name, counted over all texts.
 
-    Surnames need half as much, as they are many; each list keeps the ``most`` frequent, which bounds what workers get.
+    A given name stands there ``least`` times, a surname half as often, as they are many; a word of both kinds is what it
+    is more often. None is left out, whatever their number: what is collected are the 2^``log2_bits`` bits of each set.
     """
     counts = texts.select(*columns).mapInPandas(_evidence, "role string, word string").groupBy("role", "word").agg(F.count("*").alias("n"))
-    counts = materialise(counts.groupBy("word").pivot("role", ["given", "surname"]).agg(F.sum("n")).na.fill(0), "names")
-    out = {}
+    counts = materialise(counts.groupBy("word").pivot("role", ["given", "surname"]).agg(F.sum("n")).na.fill(0).filter(F.length("word") > 1), "names")
+    size = 1 << log2_bits
+    sets = []
     for role, k in (("given", least), ("surname", max(1, least // 2))):
         own, other = F.col(role), F.col("surname" if role == "given" else "given")
-        rows = counts.filter((own >= k) & (own > other) & (F.length("word") > 1)).orderBy(own.desc(), "word").limit(most).collect()
-        out[role] = {r["word"] for r in rows}
-    return out
+        words = counts.filter((own >= k) & (own > other)).select("word")
+        sets.append(NameBits(_bits(words, size)))
+    # The ends that one of two hundred surnames has, and five.
+    long = words.filter(F.length("word") >= 6).groupBy(F.substring("word", -3, 3).alias("end")).agg(F.count("*").alias("n"))
+    enough = max(5, (long.agg(F.sum("n")).first()[0] or 0) / 200)
+    return sets[0], sets[1], [r["end"] for r in long.filter(F.col("n") >= enough).collect()]
+
+
+def _bits(words: DataFrame, size: int) -> np.ndarray:
+    """The bits of ``NameBits``, put together on the workers in pieces of 4 kB."""
+
+    def at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"bit": [p for w in batch["word"] for p in NameBits.positions(w, size)]}, dtype="int64")
+
+    each = words.mapInPandas(at, "bit long").select(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket"), F.expr("bitmap_bit_position(bit + 1)").alias("at"))
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for bucket, bitmap in each.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)")).toLocalIterator():
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bitmap, dtype=np.uint8)
+    return bits
 
 
-def redact_texts(texts: DataFrame, columns: list[str], key: bytes = b"promptloom", least: int = 3) -> DataFrame:
+def redact_texts(texts: DataFrame, columns: list[str], key: bytes, least: int = 3) -> DataFrame:
     """``texts`` with each of ``columns`` (strings) redacted, and ``<column>_types``, the sorted types found in it.
 
     A null text stays null with null types; an empty one stays empty with none. All other columns and rows stay as they
     are, repeated rows included; a column that is already called like a new one is replaced. The key is the caller's
-    secret. Two passes: one counts where names stand, one rewrites; neither moves a text.
+    secret, and must not be empty. Two passes: one counts where names stand, one rewrites; neither moves a text. A text
+    that a task meets again is not looked through again.
     """
+    if not key:
+        raise ValueError("a key is needed")
     spark = texts.sparkSession
-    lists = learn_names(texts, columns, least)
-    shared = spark.sparkContext.broadcast(lists)
+    shared = spark.sparkContext.broadcast(learn_names(texts, columns, least))
     keep = [c for c in texts.columns if c not in {f"{x}_types" for x in columns}]
     base = texts.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + "".join(f", `{c}_types` array<string>" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Redactor(Detector(shared.value["given"], shared.value["surname"]), key)
+        own, done = Redactor(Detector(*shared.value), key), {None: (None, None)}
         for batch in batches:
             for c in columns:
-                done = [(None, None) if t is None else own.redact(t) for t in batch[c]]
-                batch[c], batch[f"{c}_types"] = [d[0] for d in done], [d[1] for d in done]
+                out = []
+                for text in batch[c]:
+                    if text not in done:
+                        if len(done) > 20_000:
+                            done = {None: (None, None)}
+                        done[text] = own.redact(text)
+                    out.append(done[text])
+                batch[c], batch[f"{c}_types"] = [d[0] for d in out], [d[1] for d in out]
             yield batch
 
     return base.mapInPandas(run, schema)

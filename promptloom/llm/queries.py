@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +51,9 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = read_table(spark, sf_dir, "ticket_run").select("run_id", "ticket.cleaned_text", "classification.description")
-    return redact_texts(runs, ["cleaned_text", "description"])
+    # Without a key of the caller's, placeholders link texts within one run of the query only.
+    key = os.environb.get(b"PROMPTLOOM_PII_KEY") or secrets.token_bytes(32)
+    return redact_texts(runs, ["cleaned_text", "description"], key)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime
 import pytest
 
 from promptloom.llm.feistel import permute, permute_date, permute_format
-from promptloom.llm.pii import Detector, Redactor, name_evidence, redact_texts
+from promptloom.llm.pii import Detector, NameBits, Redactor, learn_names, name_evidence, redact_texts, validated
 
 
 def test_permutations_are_permutations():
@@ -70,14 +70,51 @@ def test_name_evidence():
 def test_redact_texts(spark):
     rows = [(i, "Regards, Mirela Elwaro") for i in range(5)] + [(9, None), (10, ""), (11, "mirela elwaro reports: " + "all is well. " * 20_000), (11, "again")]
     df = spark.createDataFrame([(*r, ["clash"]) for r in rows], "run_id long, t string, t_types array<string>").repartition(3)
-    out = redact_texts(df, ["t"]).collect()
+    out = redact_texts(df, ["t"], b"k").collect()
     assert len(out) == len(rows) and out[0].asDict().keys() == {"run_id", "t", "t_types"}
     by = {r.run_id: r for r in out if r.t != "again"}
     assert (by[9].t, by[9].t_types) == (None, None) and (by[10].t, by[10].t_types) == ("", []) and by[0].t_types == ["name"]
     assert by[11].t.startswith("[NAME ") and by[11].t.count("all is well. ") == 20_000
-    assert redact_texts(df.limit(0), ["t"]).isEmpty()
+    assert redact_texts(df.limit(0), ["t"], b"k").isEmpty()
 
 
 @pytest.mark.parametrize("number", ["five-five-five oh-one-two-three", "five-five-five-oh-one-two-three", "fünf-fünf null-eins zwei-drei vier-acht"])
 def test_hyphens_may_join_all_digit_words(number):
     assert Detector(set(), set()).spans(f"ring {number}, please") == [(5, 5 + len(number), "phone")]
+
+
+def test_marks_tell_pieces_apart():
+    mark = lambda piece, type_: Redactor(Detector(set(), set()), b"k").placeholder(piece, type_)
+    emails = ["ann.lee@x.com", "lee.ann@x.com", "x.lee@ann.com"]
+    assert len({mark(e, "email") for e in emails}) == 3 and mark("Ann.Lee [at] x [dot] com", "email") == mark("ann.lee@x.com", "email") == mark("ann.lee at x dot com", "email")
+    assert len(mark("Ann Lee", "name")) == len("[NAME ]") + 32 and mark("Dr. Ann Lee", "name") == mark("LEE, Ann", "name")
+    assert mark("12 Mossgate Road", "address") != mark("Road 12 Mossgate", "address")
+    with pytest.raises(ValueError):
+        Redactor(Detector(set(), set()), b"")
+
+
+def test_numbers_link_however_they_are_written():
+    number = lambda piece: "".join(c for c in Redactor(Detector(set(), set()), b"k").placeholder(piece, "phone") if c.isdigit())
+    assert number("+353 87 123 4567").removeprefix("353") == number("087 123 4567").removeprefix("0") and number("+353 87 123 4567")[:3] == "353"
+    assert number("five five five oh one two three four") == number("555-0123-4")
+
+
+def test_validated_numbers_stay_valid():
+    own = Redactor(Detector(set(), set()), b"k")
+    good = ["123-45-6789", "12345678Z", "12.345.678-Z", "1 84 12 76 451 089 46", "86 095 742 719"]
+    for piece in good:
+        assert validated(piece), piece
+        out = own.placeholder(piece, "id_number")[len("[ID_NUMBER ") : -1]
+        assert out != piece and validated(out) and len(out) == len(piece)
+    for piece in ["000-00-0000", "666-12-3456", "12345678A", "1 84 12 76 451 089 47", "86 095 742 718"]:
+        assert validated(piece) is False and len(own.placeholder(piece, "id_number")) == len("[ID_NUMBER ]") + 32
+    assert validated("X-470-959-05") is None
+    assert len({own.placeholder(f"123-45-{i:04d}", "id_number") for i in range(1, 300)}) == 299
+
+
+def test_no_name_is_left_out(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = spark.createDataFrame([(f"Regards, G{letters(i % 1500)} S{letters(i % 1500)}o",) for i in range(4500)], "t string")
+    given, surnames, _ = learn_names(texts, ["t"], log2_bits=22)
+    assert all(f"g{letters(i)}" in given and f"s{letters(i)}o" in surnames for i in range(1500))
+    assert sum(f"z{letters(i)}" in given for i in range(1500)) <= 2 and isinstance(given, NameBits)
