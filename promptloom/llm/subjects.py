@@ -2,75 +2,82 @@
 
 from __future__ import annotations
 
+import functools
 import math
-import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.sources import materialise
 
-_WORD = re.compile(r"[^\W\d_]{3,}")
-_SENTENCE = re.compile(r"(?<=[.!?…。])[\"'”’»)]*\s+|\n+")
+#: Where a sentence ends; marks for that, and for the end of a text.
+_END, _MARK, _TEXT = r"[.!?…。][\"'”’»)]*[\s\p{Z}]|\n", "\x01", "\x02"
 
 #: Words of the vocabulary whose sums travel in one row.
 SLICE = 4_096
 #: Entries (documents x words) that the topics are inferred for at once, which bounds a worker's memory.
-ENTRIES = 1 << 15
-#: Distinct words that a task counts before it hands the counts on.
-HELD = 500_000
+ENTRIES = 1 << 13
 
 
 # Words ----------------------------------------------------------------------------------------------------------------
 
-READ = "kind int, key {kind}, words array<long>, h long, word string, n long"
+READ = "kind int, key {kind}, words array<long>, h long, word string, n long, total long"
 
 
 def _hashed(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) or 1
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = h = _hashed(word) or 1
-        return h
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of each character, whether it is a letter, a mark on one, or one of our own marks."""
+    return np.array([c < 3 and c > 0 or chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each text its words' hashes, a 0 behind each sentence; and in how many of this task's texts each word is."""
-    columns = ["kind", "key", "words", "h", "word", "n"]
-    hashes, seen = _Hashes(), {}
+def _words_of(texts: pa.Array) -> pa.ListArray:
+    """Each text's words, in lower case, with a mark where a sentence or the text ends; some are empty."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=f"[{_MARK}{_TEXT}]", replacement=" ")
+    marked = pc.replace_substring_regex(plain, pattern=_END, replacement=f" {_MARK} ")
+    joined = "".join(f"{t} {_MARK}{_TEXT}" for t in marked.to_pylist())[:-1]
+    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
+    parted = np.where(_letters()[codes], codes, np.uint32(ord(" "))).tobytes().decode("utf-32-le")
+    return pc.split_pattern(pa.array(parted.split(_TEXT), pa.string()), pattern=" ")
 
-    def counted() -> pd.DataFrame:
-        rows = [(1, None, None, hashes[w], w, k) for w, k in seen.items()]
-        return pd.DataFrame(rows, columns=columns)
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its words' hashes with a 0 where a sentence ends; and in how many of this batch's texts each word is, and how often."""
     for batch in batches:
-        rows = []
-        for key, text in zip(batch["key"], batch["text"]):
-            words, own = [], set()
-            for sentence in _SENTENCE.split(text.lower()):
-                if found := _WORD.findall(sentence):
-                    words += [hashes[w] for w in found]
-                    words.append(0)
-                    own.update(found)
-            if words:
-                rows.append((0, key, words, None, None, None))
-                for w in own:
-                    seen[w] = seen.get(w, 0) + 1
-        out = pd.DataFrame(rows, columns=columns)
-        yield out.astype({"h": "Int64", "n": "Int64"})
-        if len(seen) > HELD or len(hashes) > HELD:
-            yield counted()
-            hashes, seen = _Hashes(), {}
-    yield counted()
+        key, kind = batch.column("key"), batch.column("key").type
+        split = _words_of(batch.column("text"))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        kept = np.array([len(w) >= 3 or w == _MARK for w in words], dtype=bool)
+        hashes = np.array([0 if w == _MARK else _hashed(w) if k else 0 for w, k in zip(words, kept)], dtype=np.int64)
+        flat = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(key)), split.value_lengths().to_numpy(zero_copy_only=False))
+        inside = kept[flat]
+        flat, doc = flat[inside], doc[inside]
+        ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(key))))
+        pairs = np.sort(doc * max(1, len(words)) + flat)
+        of_texts = np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] % max(1, len(words)), minlength=len(words))
+        total = np.bincount(flat, minlength=len(words))
+        told = [i for i, w in enumerate(words) if kept[i] and w != _MARK]
+        for n, columns in (
+            (len(key), (key, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[flat], pa.int64())), None, None, None, None)),
+            (len(told), (pa.nulls(len(told), kind), None, pa.array(hashes[told]), coded.dictionary.take(pa.array(told, pa.int64())), pa.array(of_texts[told]), pa.array(total[told]))),
+        ):
+            types = (kind, pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            rest = [pa.nulls(n, t) if c is None else c for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([pa.array([0 if columns[0] is key else 1] * n, pa.int32()), *rest], ["kind", "key", "words", "h", "word", "n", "total"])
 
 
 def _coded(shared):
@@ -128,8 +135,8 @@ def word_weights(stats: np.ndarray, eta: float) -> np.ndarray:
     return np.exp(digamma(own) - digamma(own.sum(axis=0))).astype(np.float32)
 
 
-def infer(weights: np.ndarray, counts: np.ndarray, alpha: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Variational topic counts of documents, and the factors that split each document's words among the topics.
+def infer(weights: np.ndarray, counts: np.ndarray, alpha: float, steps: int) -> np.ndarray:
+    """The factors (documents, topics) that split each document's words among the topics, by variational Bayes.
 
     ``weights`` (documents, words, topics) are those of each document's words, ``counts`` (documents, words) how often
     each comes, 0 for padding.
@@ -139,7 +146,7 @@ def infer(weights: np.ndarray, counts: np.ndarray, alpha: float, steps: int) ->
         theta = np.exp(digamma(gamma)).astype(np.float32)
         ratio = counts / (np.matmul(weights, theta[:, :, None])[:, :, 0] + np.float32(1e-30))
         gamma = np.float32(alpha) + theta * np.matmul(ratio[:, None, :], weights)[:, 0, :]
-    return gamma, np.exp(digamma(gamma)).astype(np.float32)
+    return np.exp(digamma(gamma)).astype(np.float32)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -161,21 +168,25 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         at += len(own)
 
 
-def _summed(coded: DataFrame, size: int, width: int, each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum (``size`` x ``width``) over all documents of what ``each`` gives for a block's words.
+def _summed(coded: DataFrame, size: int, width: int, each: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each word (``size`` of them), the sum over all documents of a factor times the document's vector.
 
-    As many tasks as the cluster runs at once hold one matrix each; its slices are added up by an exchange, so the driver
-    gets one matrix, whatever the number of tasks.
+    ``each`` gives, for a block's words and counts, the factors (documents, words) and vectors (documents, ``width``). As
+    many tasks as the cluster runs at once hold one matrix each; its slices are added up by an exchange, so the driver gets
+    one matrix, whatever the number of tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, width))
         for batch in batches:
             for _, ids, counts in _blocks(batch):
+                factors, vectors = each(ids, counts)
                 order = np.argsort(ids, axis=None, kind="stable")
                 sorted_ids = ids.ravel()[order]
                 starts = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-                total[sorted_ids[starts]] += np.add.reduceat(each(ids, counts).reshape(-1, width)[order], starts, axis=0)
+                terms = vectors[order // ids.shape[1]]
+                terms *= factors.ravel()[order][:, None]
+                total[sorted_ids[starts]] += np.add.reduceat(terms, starts, axis=0)
         slices = [k for k in range(0, size, SLICE) if total[k : k + SLICE].any()]
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([total[k : k + SLICE].tobytes() for k in slices], pa.binary())], ["slice", "sums"])
 
@@ -190,10 +201,24 @@ def _summed(coded: DataFrame, size: int, width: int, each: Callable[[np.ndarray,
     return out
 
 
-def word_groups(vectors: np.ndarray, weight: np.ndarray, groups: int, seed: int, steps: int = 25) -> np.ndarray:
-    """The group of each word: spherical k-means of the words' contexts, started from far-apart heavy words."""
-    draw = np.random.default_rng(seed)
+def word_groups(vectors: np.ndarray, weight: np.ndarray, groups: int, seed: int, steps: int = 25, starts: int = 10) -> np.ndarray:
+    """The group of each word: spherical k-means of the words' contexts, the best of ``starts`` from far-apart heavy words."""
     vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    best, kept = -1.0, np.zeros(len(vectors), dtype=np.int64)
+    for start in range(starts):
+        centres = _far_apart(vectors, weight, groups, np.random.default_rng((seed, start)))
+        for _ in range(steps):
+            group = (vectors @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, group, vectors * weight[:, None])
+            lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(lengths > 0, sums / np.maximum(lengths, 1e-12), centres)
+        if lengths.sum() > best:  # how close the words are to their centres, by weight
+            best, kept = float(lengths.sum()), (vectors @ centres.T).argmax(axis=1)
+    return kept
+
+
+def _far_apart(vectors: np.ndarray, weight: np.ndarray, groups: int, draw: np.random.Generator) -> np.ndarray:
     centres = vectors[[int(np.argmax(weight))]]
     away = np.maximum(1 - vectors @ centres[0], 0)
     while len(centres) < min(groups, len(vectors)):
@@ -204,13 +229,7 @@ def word_groups(vectors: np.ndarray, weight: np.ndarray, groups: int, seed: int,
         left = [np.minimum(away, np.maximum(1 - vectors @ vectors[j], 0)) for j in tried]
         best = int(np.argmin([(weight * x).sum() for x in left]))
         centres, away = np.vstack([centres, vectors[tried[best]]]), left[best]
-    for _ in range(steps):
-        group = (vectors @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, group, vectors * weight[:, None])
-        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(lengths > 0, sums / np.maximum(lengths, 1e-12), centres)
-    return (vectors @ centres.T).argmax(axis=1)
+    return centres
 
 
 @dataclass
@@ -289,14 +308,14 @@ def fit_subject_model(
     """
     spark = documents.sparkSession
     kind = documents.schema["key"].dataType.simpleString()
-    read = materialise(documents.select("key", "text").dropna(subset=["text"]).mapInPandas(_read, READ.format(kind=kind)), "words")
+    read = materialise(documents.select("key", "text").dropna(subset=["text"]).mapInArrow(_read, READ.format(kind=kind)), "words")
     n = read.filter("kind = 0").count()
-    counts = read.filter("kind = 1").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n")).filter(F.col("n") >= max(3, math.ceil(share * n)))
-    found = sorted((r["word"], r["h"], r["n"]) for r in counts.collect())
+    counts = read.filter("kind = 1").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("total").alias("total")).filter(F.col("n") >= max(3, math.ceil(share * n)))
+    found = sorted((r["word"], r["h"], r["n"], r["total"]) for r in counts.collect())
     if not found:
         return None
-    vocabulary = [w for w, _, _ in found]
-    hashes, df = np.array([h for _, h, _ in found]), np.array([k for _, _, k in found], dtype=np.float64)
+    vocabulary = [x[0] for x in found]
+    hashes, df, total = np.array([x[1] for x in found]), np.array([x[2] for x in found], dtype=np.float64), np.array([x[3] for x in found], dtype=np.float64)
     order = np.argsort(hashes)
     shared = spark.sparkContext.broadcast((hashes[order], order))
     coded = read.filter("kind = 0").select("key", "words").mapInArrow(_coded(shared), f"key {kind}, ids array<int>, counts array<int>, places array<int>")
@@ -307,31 +326,28 @@ def fit_subject_model(
     projected = (np.random.default_rng(seed).standard_normal((size, dimensions)) * rarity[:, None] / math.sqrt(dimensions)).astype(np.float32)
     sent = spark.sparkContext.broadcast(projected)
 
-    def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of each word, the projected other words of its document; and how often it comes."""
-        here = (counts > 0).astype(np.float32)[:, :, None]
-        own = sent.value[ids] * here
-        others = (own.sum(axis=1, keepdims=True) - own) * here / np.maximum(here.sum(axis=1, keepdims=True), 1)
-        return np.concatenate([others, counts[:, :, None]], axis=2)
+    def contexts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each document, its words' mean projection; the last column counts what part of it each word is itself."""
+        here = (counts > 0).astype(np.float32)
+        n = np.maximum(here.sum(axis=1, keepdims=True), 1)
+        vectors = np.matmul(here[:, None, :], sent.value[ids])[:, 0, :]
+        return here / n, np.concatenate([vectors, np.ones((len(ids), 1), dtype=np.float32)], axis=1)
 
     sums = _summed(coded, size, dimensions + 1, contexts)
-    total = sums[:, -1]
     k = topics_each * max(1, len(subjects))
-    group = word_groups(sums[:, :-1], df * rarity + 1e-9, k, seed)
+    group = word_groups(sums[:, :-1] - projected * sums[:, -1:], df * rarity + 1e-9, k, seed)
     stats = np.tile(0.15 * total[:, None] / k, (1, k))
     stats[np.arange(size), group] += 0.85 * total
     for _ in range(passes):
         weights = spark.sparkContext.broadcast(word_weights(stats, eta))
 
-        def expected(ids: np.ndarray, counts: np.ndarray, weights=weights) -> np.ndarray:
-            """Of each word's occurrences, how many come from each topic."""
+        def expected(ids: np.ndarray, counts: np.ndarray, weights=weights) -> tuple[np.ndarray, np.ndarray]:
+            """What a word's weights are to be multiplied by for how many of its occurrences come from each topic."""
             own = weights.value[ids]
-            _, theta = infer(own, counts, alpha, steps)
-            own *= theta[:, None, :]
-            own *= (counts / (own.sum(axis=2) + np.float32(1e-30)))[:, :, None]
-            return own
+            theta = infer(own, counts, alpha, steps)
+            return counts / (np.matmul(own, theta[:, :, None])[:, :, 0] + np.float32(1e-30)), theta
 
-        stats = _summed(coded, size, k, expected)
+        stats = _summed(coded, size, k, expected) * weights.value
 
     at = {s: i for i, s in enumerate(subjects)}
     examples = labels.filter(F.col("subject").isin(subjects)).dropDuplicates(["key", "subject"])
@@ -365,7 +381,7 @@ class SubjectReader:
     def proportions(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Of each word of each document, the subjects of its topics (the rest of 1 is of topics without one)."""
         own = self.weights[ids]
-        _, theta = infer(own, counts, self.alpha, self.steps)
+        theta = infer(own, counts, self.alpha, self.steps)
         own *= theta[:, None, :]
         return np.matmul(own, self.of) / (own.sum(axis=2, keepdims=True) + np.float32(1e-30))
 

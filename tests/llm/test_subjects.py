@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from promptloom.llm.subjects import SubjectModel, SubjectReader, assign_subjects, digamma, fit_subject_model, map_topics, read_subjects, word_groups
+from promptloom.llm.subjects import SubjectModel, SubjectReader, _words_of, assign_subjects, digamma, fit_subject_model, map_topics, read_subjects, word_groups
 
 TERMS = {
     "finance": ["bond", "yields", "credit", "loan", "dividend", "pension"], "law": ["court", "ruling", "lease", "notary", "contract", "verdict"],
@@ -99,6 +99,12 @@ def test_passing_sentences_do_not_count():
     assert found([0, 1], [3, 4], [0, 2], [4, 5]) == [0, 1]
 
 
+def test_words():
+    texts = pa.array(["One  Two. Three's 4 foür!) x\x02y\nend", "", "ｅnd — of", "a.b c. d"])
+    words = [[w for w in own if w] for own in _words_of(texts).to_pylist()]
+    assert words == [["one", "two", "\x01", "three", "s", "foür", "\x01", "x", "y", "\x01", "end", "\x01"], ["\x01"], ["ｅnd", "of", "\x01"], ["a", "b", "c", "\x01", "d", "\x01"]]
+
+
 def test_parts():
     assert abs(digamma(np.array([1.0, 0.5, 10.0])) - np.array([-0.5772157, -1.9635100, 2.2517526])).max() < 1e-6
     vectors = np.repeat(np.eye(3), 4, axis=0)
