@@ -33,6 +33,14 @@ _RESOLVED = """
     SELECT t.target_id, greatest(t.min_rows, ceil(t.target_share::DECIMAL(18, 9) * coalesce(s.size, 0))::BIGINT) AS needed, coalesce(b.n, 0) AS available
     FROM sample_targets t LEFT JOIN sizes s USING (plan_name) LEFT JOIN (SELECT target_id, count(DISTINCT (src, id)) AS n FROM belongs GROUP BY target_id) b USING (target_id))"""
 
+#: Seats by the priorities (2r - 1) / share, compared as whole numbers, floors first.
+_SEATS = """
+  own AS (SELECT target_id, count(*) AS n FROM (SELECT min(target_id) AS target_id FROM belongs GROUP BY plan_name, src, id) GROUP BY target_id),
+  ranks AS (SELECT plan_name, target_id, coalesce(min_rows, 0) AS floor, (coalesce(target_share, 0)::DECIMAL(18, 9) * 1000000000)::HUGEINT AS share, unnest(range(1, n + 1)) AS r FROM sample_targets JOIN own USING (target_id)),
+  queue AS (SELECT *, row_number() OVER (PARTITION BY plan_name ORDER BY r > floor, (2 * r - 1)::HUGEINT * 1000000000000000000000000::HUGEINT // share, target_id) AS place FROM ranks WHERE share > 0 OR r <= floor),
+  seats AS (SELECT target_id, count(*) AS seats FROM queue JOIN sizes USING (plan_name) WHERE r <= floor OR place <= size GROUP BY target_id),
+  plans_ AS (SELECT plan_name, count(DISTINCT (src, id)) AS n FROM belongs GROUP BY plan_name)"""
+
 _SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+"
 _TERMS = f"""
   runs AS (SELECT run_id, any_value(keywords) AS keywords FROM ticket_run WHERE run_id IS NOT NULL GROUP BY run_id),
@@ -44,6 +52,8 @@ _TERMS = f"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_RESOLVED} SELECT target_id FROM needs WHERE available < needed",
+        "p1_report": f"""WITH {_RESOLVED}, {_SEATS} SELECT target_id, plan_name, coalesce(p.n, 0) AS records_in_plan, coalesce(size, 0) AS sample_size, available, needed, coalesce(seats, 0) AS seats, greatest(needed - available, 0) AS shortfall,
+          coalesce(seats, 0) >= available AS exhausted FROM sample_targets JOIN needs USING (target_id) LEFT JOIN sizes USING (plan_name) LEFT JOIN plans_ p USING (plan_name) LEFT JOIN seats USING (target_id)""",
         "p3_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p7_summary": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS torn, 0::BIGINT AS overfull FROM containers WHERE capacity_tokens > 0",
         "p3_terms": f"WITH {_TERMS} SELECT term, occurrences, records, mark FROM marked",

@@ -150,40 +150,53 @@ class ProportionalSample:
                 self.needed[i] = max(minimum[i], ceil(shares[i] * size))
         self.own = own
 
-    def sample(self) -> DataFrame:
-        """target_id, plan_name, record_id, rank within the target, priority (0 for the floor's records)."""
-        buckets = {i: max(1, -(-n // self.bucket_rows)) for i, n in self.own.items()}
-        rows = [(t["target_id"], self.seats[t["target_id"]], buckets.get(t["target_id"], 1), float(t["target_share"] or 0), int(t["min_rows"] or 0)) for t in self.targets]
-        seats = F.broadcast(self.spark.createDataFrame(rows, "target_id int, seats long, buckets long, share double, floor long"))
+    def _ranked(self, upto: dict[int, int], of: dict[int, int], every: bool) -> DataFrame:
+        """The records of each target, of which there are ``of``, in their random order as far as rank ``upto``.
+
+        With ``every`` a record of several targets of a plan is ranked in each, else in the first.
+        """
+        buckets = {i: max(1, -(-of.get(i, 0) // self.bucket_rows)) for i in upto}
+        rows = [(i, n, buckets[i]) for i, n in upto.items()]
+        wanted = F.broadcast(self.spark.createDataFrame(rows, "target_id int, upto long, buckets long"))
+        hits = self._hits()
+        if every:
+            hits = hits.withColumn("target_id", F.explode("hits"))
         keyed = (
-            self._hits()
-            .join(seats.filter("seats > 0"), "target_id")
+            hits.join(wanted.filter("upto > 0"), "target_id")
             .withColumn("h", F.xxhash64(F.lit(self.seed), "target_id", "record_id"))
             .withColumn("bucket", F.floor((F.shiftrightunsigned("h", 32) * F.col("buckets")) / F.lit(2.0**32)).cast("long"))
         )
         sizes = keyed.groupBy("target_id", "bucket").agg(F.count("*").alias("n"))
         before = Window.partitionBy("target_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select("target_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-        # A bucket lies before, across or behind the last seat; only those up to it are read on.
+        # A bucket lies before, across or behind the last rank; only those up to it are read on.
         inside = Window.partitionBy("target_id", "bucket").orderBy(F.shiftrightunsigned("h", 0), "record_id")
-        ranked = (
-            keyed.join(F.broadcast(starts) if sum(buckets.values()) <= 1_000_000 else starts, ["target_id", "bucket"])
-            .filter("start < seats")
-            .withColumn("rank", F.row_number().over(inside) + F.col("start"))
-            .filter("rank <= seats")
-        )
+        ranked = keyed.join(F.broadcast(starts) if sum(buckets.values()) <= 1_000_000 else starts, ["target_id", "bucket"]).filter("start < upto")
+        ranked = ranked.withColumn("rank", F.row_number().over(inside) + F.col("start")).filter("rank <= upto")
+        return ranked.select("target_id", "plan_name", "record_id", F.col("rank").cast("long").alias("rank"))
+
+    def sample(self) -> DataFrame:
+        """target_id, plan_name, record_id, rank within the target, priority (0 for the floor's records)."""
+        rows = [(t["target_id"], float(t["target_share"] or 0), int(t["min_rows"] or 0)) for t in self.targets]
+        asked = F.broadcast(self.spark.createDataFrame(rows, "target_id int, share double, floor long"))
+        ranked = self._ranked(self.seats, self.own, every=False).join(asked, "target_id")
         priority = F.when(F.col("rank") <= F.col("floor"), F.lit(0.0)).otherwise((F.col("rank") - 0.5) / F.col("share"))
-        return ranked.select(F.col("target_id").cast("int"), "plan_name", "record_id", F.col("rank").cast("long"), priority.alias("priority"))
+        return ranked.select(F.col("target_id").cast("int"), "plan_name", "record_id", "rank", priority.alias("priority"))
 
     def report(self) -> DataFrame:
-        """Each target: what the plan asks, what there is, what was drawn; ``shortfall`` > 0 where it can't be met."""
+        """Each target: what the plan asks, what there is, what was drawn; ``shortfall`` > 0 where it can't be met.
+
+        The draw itself tells: a target is short by the ranks up to its need for which it has no record left.
+        """
         drawn = self.sample().groupBy("target_id").agg(F.count("*").alias("seats"))
+        reached = self._ranked(self.needed, self.available, every=True).groupBy("target_id").agg(F.max("rank").alias("reached"))
         rows = [
             (i, t["plan_name"], self.of_plan.get(t["plan_name"], 0), self.size[i], self.available.get(i, 0), self.needed[i])
             for t in self.targets
             for i in [t["target_id"]]
         ]
         asked = self.spark.createDataFrame(rows, "target_id int, plan_name string, records_in_plan long, sample_size long, available long, needed long")
+        asked = asked.join(reached, "target_id", "left")
         out = asked.join(drawn, "target_id", "left").withColumn("seats", F.coalesce("seats", F.lit(0).cast("long")))
-        short = F.greatest(F.col("needed") - F.col("available"), F.lit(0).cast("long"))
-        return out.withColumns({"shortfall": short, "exhausted": F.col("seats") >= F.col("available")})
+        short = F.col("needed") - F.coalesce("reached", F.lit(0).cast("long"))
+        return out.withColumns({"shortfall": short, "exhausted": F.col("seats") >= F.col("available")}).drop("reached")
