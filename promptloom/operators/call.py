@@ -96,6 +96,7 @@ def call(rows: DataFrame, prompt: str, backend: Backend, stage: str, known: Data
     pause = backend.pause
     wanted = own.filter(F.col(prompt).isNotNull()).select(F.col("_req").alias("req_id"), F.col(prompt).alias("prompt")).dropDuplicates(["req_id"])
     if known is not None:
+        known = known.dropDuplicates(["req_id"])
         wanted = wanted.join(known.select("req_id"), "req_id", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

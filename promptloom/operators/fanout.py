@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.functions.jsonx import clean_llm_json, safe_parse
+from promptloom.schemas import EXPANDED, JUDGE
+
 #: What a run's error column says.
 INVALID_JUDGE = "invalid_judge_output"
 DECOMPOSITION_FAILED = "decomposition_provider_error"
@@ -51,6 +54,22 @@ def judge_alignment(responses: Column, best_indices: Column, scores: Column) ->
     return F.struct(F.when(good, F.get(responses, first)).alias("winner"), F.when(good, F.get(scores, first)).alias("top_score"), F.when(~good, F.lit(INVALID_JUDGE)).alias("error"))
 
 
+def judged(responses: Column, reply: Column) -> Column:
+    """struct(winner, top_score, error) by a judge's reply; one that can't be read is an invalid judgement."""
+    verdict = safe_parse(clean_llm_json(reply), JUDGE)
+    return judge_alignment(responses, verdict["best_indices"], verdict["scores"])
+
+
+def expanded_tasks(reply: Column) -> Column:
+    """The tasks (agent, query, expected_output) of an expansion's reply; null if it isn't one."""
+    return safe_parse(clean_llm_json(reply), EXPANDED)["tasks"]
+
+
+def run_error(has_plan: Column, judgement: Column, has_answer: Column) -> Column:
+    """What ended a run, the first of: no plan could be read, the judge's was invalid, no answer could be read."""
+    return F.when(~has_plan, F.lit(DECOMPOSITION_FAILED)).otherwise(F.coalesce(judgement, F.when(~has_answer, F.lit(FAN_IN_FAILED))))
+
+
 def sub_questions(reply: Column) -> Column:
     """An array of strings from a decomposition's JSON reply, null if it isn't one."""
     return F.from_json(reply, "array<string>")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.guardrail import rejected_classification, verdict
+from promptloom.functions.jsonx import is_truthy
 
 #: Ticket branches, and the domains with their routes and reasons.
 TICKET_BRANCHES = ("technical", "billing", "general", "escalation")
@@ -43,6 +44,17 @@ def domain_route(domain: Column, is_safe: Column, has_domain: Column | None = No
     return out.otherwise(_route(AMBIGUOUS))
 
 
+def domain_route_of(classification: Column) -> Column:
+    """struct(route, route_reason) of a classification as canonical JSON text of an object.
+
+    ``is_safe`` is judged by its truth, whatever its JSON type: the string "false" is safe, 0, "" and null are not.
+    """
+    parsed = F.try_parse_json(classification)
+    raw = F.to_json(F.try_variant_get(parsed, "$.is_safe", "variant"))
+    present = F.try_variant_get(parsed, "$.domain", "variant").isNotNull()
+    return domain_route(F.get_json_object(classification, "$.domain"), is_truthy(raw), present, raw.isNotNull())
+
+
 def split_by_guardrail(inputs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(inputs that a model may see, the others with the classification they get without one).
 

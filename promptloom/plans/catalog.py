@@ -6,6 +6,7 @@ ids, alike in both engines. Every query runs over whole tables.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import guardrail, jsonx, render
 from promptloom.operators import fanout, reflexion, review, routing
+from promptloom.operators.call import RuleBackend, call
 from promptloom.plans import dry_run, pipeline, prompts
 from promptloom.sources import once, read_table
 
@@ -155,7 +157,7 @@ def route_domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """SELECT run_id, coalesce(s, '') AS sentiment, CASE WHEN k IS NULL THEN -1 ELSE len(k) END AS n_keywords,
+    """SELECT run_id, coalesce(s, '') AS sentiment, array_to_string(k, '|') AS keywords, len(k) AS n_keywords,
     CASE WHEN s IS NULL THEN 'missing sentiment' WHEN k IS NULL THEN 'missing keywords' END AS error
     FROM (SELECT run_id, any_value(sentiment) AS s, any_value(keywords) AS k FROM ticket_run WHERE run_id IS NOT NULL GROUP BY run_id)"""
 )
@@ -163,8 +165,24 @@ def merge_branches(spark: SparkSession, d: str) -> DataFrame:
     left = once(read_table(spark, d, "ticket_run", "run_id", "sentiment"), "run_id")
     right = once(read_table(spark, d, "ticket_run", "run_id", "keywords"), "run_id")
     both = routing.merge_branches(left, right, "run_id")
-    size = F.when(F.col("keywords").isNull(), F.lit(-1).cast("long")).otherwise(F.size("keywords").cast("long"))
-    return both.select("run_id", F.coalesce("sentiment", F.lit("")).alias("sentiment"), size.alias("n_keywords"), "error")
+    size = F.when(F.col("keywords").isNotNull(), F.size("keywords").cast("long"))
+    return both.select("run_id", F.coalesce("sentiment", F.lit("")).alias("sentiment"), F.array_join("keywords", "|").alias("keywords"), size.alias("n_keywords"), "error")
+
+
+#: is_safe as JSON, and whether it lets a question through; absent does, null doesn't, and a string does if it isn't empty.
+_SAFE = (("true", True), ("false", False), ('"true"', True), ('"false"', True), ("1", True), ("0", False), ('""', False), ("null", False), ("[]", False), ("{\"a\":0}", True))
+_SQL_SAFE = "CASE event_id % 11 " + " ".join(f"WHEN {i} THEN {str(not x).lower()}" for i, (_, x) in enumerate(_SAFE)) + " ELSE false END"
+
+
+@_query(f"SELECT event_id, {_sql_route(safe=_SQL_SAFE, missing='event_id % 5 = 0', domain=_SQL_DOMAIN)} FROM events")
+def route_json(spark: SparkSession, d: str) -> DataFrame:
+    """Domains routed from JSON replies, with is_safe of every JSON type."""
+    i = F.col("event_id")
+    safe = _pick(i % 11, *[f'"is_safe":{x}' for x, _ in _SAFE], None)
+    domain = F.when(i % 5 != 0, F.concat(F.lit('"domain":'), F.coalesce(F.concat(F.lit('"'), _pick(i, *_DOMAINS), F.lit('"')), F.lit("null"))))
+    reply = F.concat(F.lit("```json\n{"), F.concat_ws(",", F.lit('"confidence":0.5'), safe, domain), F.lit("}\n```"))
+    json = jsonx.strict_json(jsonx.clean_llm_json(reply))
+    return read_table(spark, d, "events", "event_id").select("event_id", json.alias("json")).select("event_id", routing.domain_route_of(F.col("json")).alias("r")).select("event_id", "r.*")
 
 
 # JSON -----------------------------------------------------------------------------------------------------------------
@@ -309,15 +327,73 @@ _SQL_RESULTS = "(SELECT DISTINCT ON (result_id) * FROM task_results WHERE result
 
 
 @_query(
-    f"""SELECT query_id, coalesce(n, 0) AS n_results, coalesce(sha256(r), sha256('[]')) AS results_hash FROM (SELECT DISTINCT query_id FROM plans WHERE query_id IS NOT NULL)
-    LEFT JOIN (SELECT query_id, count(*) AS n, to_json(list({{'agent': agent, 'result': length(answer)}} ORDER BY pos, agent))::VARCHAR AS r
-      FROM {_SQL_RESULTS} WHERE error IS NULL AND answer IS NOT NULL GROUP BY query_id) USING (query_id)"""
+    f"""SELECT query_id, count(r.query_id) OVER (PARTITION BY query_id) AS n_results, CASE WHEN r.query_id IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY pos, agent, answer) - 1 END AS i, agent, answer
+    FROM (SELECT DISTINCT query_id FROM plans WHERE query_id IS NOT NULL) LEFT JOIN (SELECT * FROM {_SQL_RESULTS} WHERE error IS NULL AND answer IS NOT NULL) r USING (query_id)"""
 )
 def fan_in(spark: SparkSession, d: str) -> DataFrame:
-    results = _results(spark, d).select("query_id", "pos", F.coalesce("agent", F.lit(None).cast("string")).alias("agent"), F.length("answer").alias("result"), "error")
-    keys = read_table(spark, d, "plans", "query_id").dropna()
-    out = fanout.fan_in(results, keys, "query_id")
-    return out.select("query_id", F.coalesce(F.expr("json_array_length(results)"), F.lit(0)).cast("long").alias("n_results"), F.sha2("results", 256).alias("results_hash"))
+    results = _results(spark, d).withColumnRenamed("answer", "result")
+    out = fanout.fan_in(results, read_table(spark, d, "plans", "query_id").dropna(), "query_id")
+    n = F.coalesce(F.expr("json_array_length(results)"), F.lit(0)).cast("long").alias("n_results")
+    read = F.posexplode_outer(F.from_json("results", "array<struct<agent:string,result:string>>"))
+    return out.select("query_id", n, read).select("query_id", "n_results", F.col("pos").cast("long").alias("i"), "col.agent", F.col("col.result").alias("answer"))
+
+
+@_query("SELECT query_id, i - 1 AS i, entities[i] AS question FROM (SELECT query_id, entities, unnest(range(1, len(entities) + 1)) AS i FROM plans WHERE entities IS NOT NULL)")
+def sub_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-questions read from a decomposition's reply, here the recorded entities as a JSON array."""
+    plans = read_table(spark, d, "plans", "query_id", "entities").withColumn("reply", F.to_json("entities"))
+    each = plans.select("query_id", F.posexplode(fanout.sub_questions(F.col("reply"))).alias("i", "question"))
+    return each.select("query_id", F.col("i").cast("long").alias("i"), "question")
+
+
+@_query(
+    """SELECT query_id, i - 1 AS i, tasks[i].agent AS agent, tasks[i].query AS query, 'figures for ' || tasks[i].agent AS expected_output
+    FROM (SELECT query_id, tasks, unnest(range(1, len(tasks) + 1)) AS i FROM plans WHERE tasks IS NOT NULL AND query_id % 5 <> 0)"""
+)
+def expand_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks with what each is to give, read from an expansion's reply, here the recorded tasks; a fifth can't be read."""
+    plans = read_table(spark, d, "plans", "query_id", "tasks").filter("tasks IS NOT NULL")
+    full = F.transform("tasks", lambda t: F.struct(t["agent"].alias("agent"), t["query"].alias("query"), F.concat(F.lit("figures for "), t["agent"]).alias("expected_output")))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(full.alias("tasks"))), F.when(F.col("query_id") % 5 == 0, "} and so on").otherwise("\n```"))
+    each = plans.select("query_id", F.posexplode(fanout.expanded_tasks(reply)).alias("i", "task"))
+    return each.select("query_id", F.col("i").cast("long").alias("i"), "task.*")
+
+
+@_query(
+    f"""SELECT query_id, CASE WHEN t IS NULL OR len(t) = 0 THEN 'decomposition_provider_error' WHEN query_id % 4 = 1 OR len(t) <> 2 THEN 'invalid_judge_output' WHEN a IS NULL THEN 'fan_in_failed' END AS error
+    FROM (SELECT query_id, tasks AS t FROM plans) LEFT JOIN (SELECT query_id, any_value(answer) AS a FROM answers WHERE query_id IS NOT NULL GROUP BY query_id) USING (query_id)"""
+)
+def run_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What ended each recorded run; the judge's reply scores two answers, or is none for a quarter of the runs."""
+    plans = read_table(spark, d, "plans", "query_id", "tasks")
+    answers = read_table(spark, d, "answers", "query_id", "answer").dropna(subset=["query_id"]).groupBy("query_id").agg(F.any_value("answer", True).alias("answer"))
+    reply = F.when(F.col("query_id") % 4 == 1, "no idea").otherwise('```json\n{"best_indices":[1,0],"scores":[3.5,8],"reasoning":"r"}\n```')
+    judged = fanout.judged(F.col("tasks"), reply)["error"]
+    rows = plans.join(answers, "query_id", "left")
+    return rows.select("query_id", fanout.run_error(F.coalesce(F.size("tasks") > 0, F.lit(False)), judged, F.col("answer").isNotNull()).alias("error"))
+
+
+_tried: Counter = Counter()
+
+
+def _unsteady(stage: str, prompt: str) -> str:
+    """Answers at once, or at the third try, or never, by the prompt's number."""
+    n = int(prompt.split()[-1])
+    _tried[prompt] += 1
+    if n % 3 == 1 or (n % 3 == 2 and _tried[prompt] < 3):
+        raise RuntimeError(f"no reply to {n}")
+    return f"reply to {n}"
+
+
+@_query(
+    """SELECT query_id, CASE WHEN query_id % 7 % 3 <> 1 THEN 'reply to ' || (query_id % 7) END AS reply, CASE WHEN query_id % 7 % 3 = 1 THEN 'LLM call failed: no reply to ' || (query_id % 7) END AS call_error
+    FROM (SELECT DISTINCT query_id FROM questions WHERE query_id IS NOT NULL)"""
+)
+def call_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of which a part fails for good, and a part twice before it succeeds; each failure stays in its rows."""
+    rows = read_table(spark, d, "questions", "query_id").dropna().distinct()
+    asked = rows.withColumn("prompt", F.concat(F.lit("question "), (F.col("query_id") % 7).cast("string")))
+    return call(asked, "prompt", RuleBackend(_unsteady), "unsteady").select("query_id", "reply", "call_error")
 
 
 _SCORE = "(result_id * 31 + {c} * 17) % 10 + 1"
@@ -405,13 +481,31 @@ def critic_fallback(spark: SparkSession, d: str) -> DataFrame:
     good = F.concat(F.lit('```json\n{"scores":{"factual_grounding":'), (F.col("event_id") % 10).cast("string"), F.lit('},"revision_instructions":[],"summary":"ok"}\n```'))
     critic = reflexion.critic_or_default(_pick(F.col("event_id"), good, "no idea", "[1, 2]"))
     events = read_table(spark, d, "events", "event_id").select("event_id", critic.alias("c"))
-    return events.select("event_id", F.col("c.scores.factual_grounding").alias("factual"), "c.summary", F.size("c.revision_instructions").alias("n_advice"))
+    return events.select("event_id", F.col("c.scores.factual_grounding").try_cast("double").alias("factual"), "c.summary", F.size("c.revision_instructions").alias("n_advice"))
+
+
+_SHOWN = ("factual", "complete", "consistency", "tone", "unsupported_ctrl")
+_SQL_SHOWN = " || ', ' || ".join(f"'{n}=' || coalesce(regexp_replace(({x})::VARCHAR, '\\.0$', ''), '0')" for n, x in zip(_SHOWN, _SQL_FIVE)).replace("\\\\", "\\")
 
 
-@_query(f"SELECT l_orderkey, l_linenumber, l_partkey, printf('aggregate=%.2f', ({' + '.join(f'coalesce({x}, 0)' for x in _SQL_FIVE)}) / 5) AS line FROM lineitem")
+@_query(f"SELECT l_orderkey, l_linenumber, l_partkey, '[REFLEXION] Iteration ' || l_linenumber || ' scores: ' || {_SQL_SHOWN} || printf(', aggregate=%.2f', ({' + '.join(f'coalesce({x}, 0)' for x in _SQL_FIVE)}) / 5) AS line FROM lineitem")
 def score_line(spark: SparkSession, d: str) -> DataFrame:
-    line = reflexion.score_line(F.lit(1), _scores())
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.regexp_extract(line, "aggregate=.*$", 0).alias("line"))
+    line = reflexion.score_line(F.col("l_linenumber"), _scores())
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line"))
+
+
+_RATED = (("8", 8.0), ('"8"', 8.0), ('" 7.5 "', 7.5), ("null", 0.0), (None, 0.0), ('"good"', None))
+_SQL_RATED = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {'NULL' if x is None else x}" for i, (_, x) in enumerate(_RATED)) + " END"
+
+
+@_query(f"SELECT event_id, ({_SQL_RATED} + event_id % 10)::DOUBLE / 5 AS aggregate, CASE WHEN event_id % 6 = 5 THEN 'score completeness is not a number' END AS error FROM events")
+def rubric_json(spark: SparkSession, d: str) -> DataFrame:
+    """Scores read from JSON as numbers, text of numbers, null, absent, or as no number, which is an error of its row."""
+    own = _pick(F.col("event_id"), *[None if x is None else f'"completeness":{x}' for x, _ in _RATED])
+    reply = F.concat(F.lit('{"scores":{'), F.concat_ws(",", F.concat(F.lit('"domain_tone":'), (F.col("event_id") % 10).cast("string")), own), F.lit("}}"))
+    scores = read_table(spark, d, "events", "event_id").select("event_id", reflexion.critic_or_default(reply)["scores"].alias("s"))
+    error = reflexion.score_error(F.col("s"))
+    return scores.select("event_id", F.when(error.isNull(), reflexion.rubric_score(F.col("s"))).alias("aggregate"), error.alias("error"))
 
 
 _SQL_FOLD = """
@@ -428,15 +522,28 @@ def reflexion_stop(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders", "o_orderkey").select("o_orderkey", reflexion.reflexion_outcome(scores).alias("r")).select("o_orderkey", "r.*")
 
 
+def _editor(stage: str, prompt: str) -> str:
+    """Scores 9 where a draft is revised, else 5; and revises."""
+    draft = prompt.split("\nDraft:\n", 1)[1]
+    if stage == "producer":
+        return draft.rsplit("\nAdvice:\n", 1)[0] + " revised"
+    n = 9 if "revised" in draft else 5
+    return '{"scores":{' + ",".join(f'"{r}":{n}' for r in reflexion.RUBRIC) + '},"revision_instructions":["Revise."]}'
+
+
+_SQL_WORKED = "a IS NOT NULL AND regexp_matches(a, '[^\\s\\p{Z}\\x{0B}\\x{1C}-\\x{1F}\\x{85}]')"
+
+
 @_query(
-    """SELECT answer_id, CASE WHEN a IS NOT NULL AND regexp_matches(a, '[^\\s\\p{Z}\\x{0B}\\x{1C}-\\x{1F}\\x{85}]') THEN 'revised' ELSE a END AS answer,
-    a IS NOT NULL AND regexp_matches(a, '[^\\s\\p{Z}\\x{0B}\\x{1C}-\\x{1F}\\x{85}]') AS has_scores
-    FROM (SELECT answer_id, any_value(answer) AS a FROM answers WHERE answer_id IS NOT NULL GROUP BY answer_id)""".replace("\\\\", "\\")
+    f"""SELECT answer_id, CASE WHEN w AND NOT contains(a, 'revised') THEN a || ' revised' ELSE a END AS answer, CASE WHEN NOT w THEN NULL WHEN contains(a, 'revised') THEN '9.0' ELSE '5.0,9.0' END AS scores, CASE WHEN w THEN 'threshold' END AS reason
+    FROM (SELECT answer_id, a, {_SQL_WORKED} AS w FROM (SELECT answer_id, any_value(answer) AS a FROM answers WHERE answer_id IS NOT NULL GROUP BY answer_id))"""
 )
 def apply_reflexion(spark: SparkSession, d: str) -> DataFrame:
-    rows = once(read_table(spark, d, "answers", "answer_id", "answer"), "answer_id")
-    worked = reflexion.has_answer(F.col("answer"))
-    return rows.select("answer_id", F.when(worked, "revised").otherwise(F.col("answer")).alias("answer"), worked.alias("has_scores"))
+    """The loop over recorded answers, with a critic who is content once a draft is revised."""
+    rows = once(read_table(spark, d, "answers", "answer_id", "answer"), "answer_id").withColumn("domain", F.lit("General"))
+    done, _ = reflexion.reflexion_loop(rows, "answer_id", RuleBackend(_editor))
+    scores = F.array_join(F.transform("reflection_scores", lambda x: x.cast("string")), ",")
+    return done.select("answer_id", "answer", scores.alias("scores"), "reason")
 
 
 @_query()
@@ -453,6 +560,41 @@ def prompt_table(spark: SparkSession, d: str) -> DataFrame:
     return prompts.table(spark)
 
 
+# Whole pipelines, over recorded replies ------------------------------------------------------------------------------
+
+_SQL_RUNS = "(SELECT run_id, any_value(sentiment) AS s, any_value(keywords) AS k, any_value(classification.category) AS c, any_value(verdicts) AS v, any_value(solution) AS solution FROM ticket_run WHERE run_id IS NOT NULL GROUP BY run_id)"
+
+
+@_query(
+    f"""WITH runs AS {_SQL_RUNS}, loop AS ({_SQL_LOOP.format(key="run_id", source="SELECT run_id, " + ", ".join(_SQL_V.format(i=i, c=c) for i, c in ((1, "a"), (2, "b"), (3, "c"))) + " FROM runs")}),
+    judged AS (SELECT *, CASE WHEN c IN ('technical', 'billing', 'general', 'escalation') THEN c ELSE 'unsure' END AS branch, CASE WHEN s IS NULL THEN 'missing sentiment' WHEN k IS NULL THEN 'missing keywords' END AS missing FROM runs JOIN loop USING (run_id)),
+    worked AS (SELECT *, missing IS NULL AND branch <> 'unsure' AND solution IS NOT NULL AS w FROM judged)
+    SELECT run_id, branch, CASE WHEN w THEN reviews END AS reviews, CASE WHEN w THEN improves END AS improves, CASE WHEN w THEN approved END AS approved, CASE WHEN w THEN array_to_string(solution.solution_steps, chr(10)) END AS steps,
+      coalesce(missing, CASE WHEN branch <> 'unsure' AND solution IS NULL THEN '{review.FAILED}' END) AS error FROM worked"""
+)
+def ticket_replay(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.recorded_tickets(once(read_table(spark, d, "ticket_run", "run_id", "sentiment", "keywords", "classification", "verdicts", "solution"), "run_id"))
+
+
+_SQL_REPLAY_ROUTE = _sql_route(safe="coalesce(reason <> 'Input safe', false) OR (known AND NOT coalesce(is_safe, false))", missing="known IS NULL", domain="domain")
+
+
+@_query(
+    f"""WITH q AS (SELECT query_id, {_sql_reason('text')} AS reason FROM (SELECT query_id, any_value(text) AS text FROM questions WHERE query_id IS NOT NULL GROUP BY query_id)),
+    r AS (SELECT query_id, any_value(domain) AS domain, any_value(is_safe) AS is_safe, true AS known FROM routing WHERE query_id IS NOT NULL GROUP BY query_id),
+    p AS (SELECT query_id, len(tasks) AS tasks FROM plans WHERE len(tasks) > 0), t AS (SELECT query_id, count(*) FILTER (error IS NULL) AS answered FROM {_SQL_RESULTS} GROUP BY query_id),
+    a AS (SELECT query_id, max(answer) AS answer FROM answers WHERE query_id IS NOT NULL GROUP BY query_id),
+    e AS (SELECT query_id, {_SQL_REPLAY_ROUTE} FROM q LEFT JOIN r USING (query_id))
+    SELECT query_id, route, route_reason, CASE WHEN route <> 'Fallback' THEN coalesce(tasks, 0) END AS tasks, CASE WHEN route <> 'Fallback' THEN coalesce(answered, 0) END AS answered, CASE WHEN route <> 'Fallback' THEN answer END AS answer,
+      CASE WHEN route <> 'Fallback' AND tasks IS NULL THEN 'decomposition_provider_error' WHEN route <> 'Fallback' AND answer IS NULL THEN 'fan_in_failed' END AS error
+    FROM e LEFT JOIN p USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN a USING (query_id)"""
+)
+def research_replay(spark: SparkSession, d: str) -> DataFrame:
+    answers = read_table(spark, d, "answers", "query_id", "answer").dropna(subset=["query_id"]).groupBy("query_id").agg(F.max("answer").alias("answer"))
+    questions, routed = (once(read_table(spark, d, *x), "query_id") for x in (("questions", "query_id", "text"), ("routing", "query_id", "domain", "is_safe")))
+    return pipeline.recorded_research(questions, routed, read_table(spark, d, "plans", "query_id", "tasks"), _results(spark, d), answers)
+
+
 # Whole pipelines, with rules in place of a model ----------------------------------------------------------------------
 
 
@@ -466,3 +608,10 @@ def ticket_pipeline(spark: SparkSession, d: str) -> DataFrame:
 def research_pipeline(spark: SparkSession, d: str) -> DataFrame:
     rows = once(read_table(spark, d, "questions", "query_id", "text"), "query_id")
     return pipeline.research(rows, dry_run.backend(), n=3)
+
+
+@_query()
+def research_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What each stage did, of every question."""
+    rows = once(read_table(spark, d, "questions", "query_id", "text"), "query_id")
+    return pipeline.research_runs(rows, dry_run.backend())[1]

@@ -62,7 +62,7 @@ def reply(stage: str, prompt: str) -> str:
     if stage == "critic":
         return json.dumps({"scores": {"factual_grounding": 5 + prompt.count("revised"), "completeness": 6}, "revision_instructions": ["Add figures."]})
     if stage == "producer":
-        return prompt.split("Current draft:\n")[-1].split("\n\nRevision")[0] + " revised"
+        return prompt.split("\nDraft:\n", 1)[-1].rsplit("\nAdvice:\n", 1)[0] + " revised"
     raise ValueError(f"no rule for {stage}")
 
 

@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 CLASSIFICATION = "struct<category:string,product:string,issue_type:string,urgency:string,description:string>"
-SOLUTION = "struct<category:string,product:string,issue_type:string,urgency:string,description:string,solution_steps:array<string>,improvement_notes:string>"
-REVIEW = "struct<approved:string,feedback:string>"
-UNSURE = "struct<category:string,message:string,clarification_questions:array<string>>"
-VERDICT = "struct<allowed:boolean,reason:string>"
+#: What a question's classification holds; ``is_safe`` is read apart, as JSON of any type.
 DOMAIN = "struct<domain:string,is_safe:boolean,reasoning:string,confidence:double>"
 PLAN = "struct<intent:string,entities:array<string>,time_scope:string,tasks:array<struct<agent:string,query:string>>>"
+EXPANDED = "struct<tasks:array<struct<agent:string,query:string,expected_output:string>>>"
 ANSWER = "struct<answer:string,confidence:double,reasoning:string,summary_points:array<string>,risk_notes:array<string>>"
 JUDGE = "struct<best_indices:array<int>,scores:array<double>,reasoning:string>"
 RUBRIC = ("factual_grounding", "completeness", "internal_consistency", "domain_tone", "unsupported_claims_control")
-CRITIC = f"struct<scores:struct<{','.join(f'{r}:double' for r in RUBRIC)}>,revision_instructions:array<string>,unsupported_claims:array<string>,summary:string>"
-REQUEST = "req_id string, stage string, model string, temperature double, prompt string"
-REPLY = "req_id string, reply string, error string, attempts int"
+CRITIC = f"struct<scores:struct<{','.join(f'{r}:string' for r in RUBRIC)}>,revision_instructions:array<string>,unsupported_claims:array<string>,summary:string>"
