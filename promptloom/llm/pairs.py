@@ -38,7 +38,7 @@ _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
 
-#: Least hashes of a prompt's shingles that are kept; prompts of one class (0.8) differ in all of them once in 600 times.
+#: Hashes of a prompt's shingles that are kept; prompts of one class (0.8) differ in all of them once in 600 times.
 LEAST = 4
 PROMPT = [f"p{i}" for i in range(LEAST)]
 CHECKED = "table_name string, row_id long, defect string, opening string, closing string, n_sentences int, " + ", ".join(f"{p} long" for p in PROMPT)
@@ -97,39 +97,39 @@ class PairChecker:
             self.cuts[key] = bool(self.model.score([text], [near])[0] >= self.model.threshold)
         return self.cuts[key]
 
-    def check(self, source: str, prompt: str | None, parts: list[str | None] | None, context: str | None) -> tuple[str | None, str | None, str | None, int]:
-        """The defect that the pair shows by itself, its masked first and last sentence, and how many it has."""
+    def check(self, source: str, prompt: str | None, parts: list[str | None] | None, context: str | None) -> tuple[str | None, str | None, str | None, int, list[str]]:
+        """The defect that the pair shows by itself, its masked first and last sentence, how many it has; the prompt's words."""
         steps = [p[m.end() :] if (m := _STEP.match(p)) else p for p in parts or [] if p is not None]
         steps = [s for s in steps if not stand_in(s)]
         if not steps:
-            return "empty", None, None, 0
+            return "empty", None, None, 0, []
         response = " ".join(steps) if len(steps) > 1 else steps[0]
         sentences = [w for x in _SENTENCES.split(response) if (w := words(x))] or [[]]
         said = [w for x in sentences for w in x]
         asked = words(prompt or "")
         if copies(asked, said):
-            return "copy", None, None, 0
+            return "copy", None, None, 0, asked
         about = frozenset(w for w in asked if len(w) > _SHORT)
         opening = masked(sentences[0], about)
         closing = masked(sentences[-1], about) if 1 < len(sentences) <= BRIEF else None  # of what may be a refusal
         than = evidence(context) if context is not None else evidence(prompt or "", asked)
         if other_language(evidence(response, said), than):
-            return "language", opening, closing, len(sentences)
+            return "language", opening, closing, len(sentences), asked
         if self._cut(steps[-1], source):
-            return "truncated", opening, closing, len(sentences)
-        return None, opening, closing, len(sentences)
+            return "truncated", opening, closing, len(sentences), asked
+        return None, opening, closing, len(sentences), asked
 
 
-def least_hashes(prompt: str | None) -> tuple[int | None, ...]:
-    """Least hashes of a prompt's shingles, each under another permutation; nulls for a prompt without words."""
-    own = words(prompt) if prompt else []
+def least_hashes(own: list[str]) -> tuple[int, ...]:
+    """The least and greatest hashes of a prompt's shingles, as they are and with halves swapped; -1 for one without words.
+
+    Each is the shingle that comes first in an order of its own, as in MinHash.
+    """
     if not own:
-        return (None,) * LEAST
+        return (-1,) * LEAST
     hashes = [crc32(" ".join(own[i : i + SHINGLE]).encode()) for i in range(max(1, len(own) - SHINGLE + 1))]
-    return tuple(min((h * a + b) & 0xFFFFFFFFFFFF for h in hashes) for a, b in _PERMUTED)
-
-
-_PERMUTED = [(int(a), int(b)) for a, b in zip(_A[:LEAST], _B[:LEAST])]
+    swapped = [h >> 16 | (h & 0xFFFF) << 16 for h in hashes]
+    return min(hashes), max(hashes), min(swapped), max(swapped)
 
 
 def _checked(model, limits: dict):
@@ -138,11 +138,11 @@ def _checked(model, limits: dict):
         for b in batches:
             parts = [None if p is None else list(p) for p in b["parts"]]
             rows = [checker.check(*x) for x in zip(b["table_name"], b["prompt"], parts, b["context"])]
-            out = pd.DataFrame(rows, columns=["defect", "opening", "closing", "n_sentences"])
+            out = pd.DataFrame([r[:4] for r in rows], columns=["defect", "opening", "closing", "n_sentences"])
             out.insert(0, "table_name", b["table_name"].to_numpy())
             out.insert(1, "row_id", b["row_id"].to_numpy())
-            least = [least_hashes(p) if 0 < r[3] <= BRIEF else (None,) * LEAST for p, r in zip(b["prompt"], rows)]
-            yield pd.concat([out, pd.DataFrame(least, columns=PROMPT, dtype="Int64")], axis=1)
+            least = np.array([least_hashes(r[4] if 0 < r[3] <= BRIEF else []) for r in rows], dtype=np.int64).reshape(-1, LEAST)
+            yield out.assign(**{p: least[:, k] for k, p in enumerate(PROMPT)})
 
     return run
 
@@ -288,7 +288,7 @@ def refusal_openings(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = F.col("n_sentences") <= BRIEF
     opened = checked.filter("opening IS NOT NULL").groupBy("opening").agg(
         F.count("*").alias("n"), F.count_if(short).alias("brief"), F.count_if(short & F.col("closing").isNull()).alias("alone"),
-        *[f(p).alias(f"{name}_{p}") for p in PROMPT for name, f in (("low", F.min), ("high", F.max))],
+        *[f(F.when(F.col(p) >= 0, F.col(p))).alias(f"{name}_{p}") for p in PROMPT for name, f in (("low", F.min), ("high", F.max))],
     )
     opened = materialise(opened, "openings")
     # An opening whose responses go on at length gives content, so its class is not looked for.
