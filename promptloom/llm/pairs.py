@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, combinations
 from zlib import crc32
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.llm.language import evidence, other_language
-from promptloom.llm.truncation import CutModel, field_limits, fit_cut_model, limit_of, stand_in
+from promptloom.llm.truncation import CLOSING, CutModel, closing, field_limits, fit_cut_model, limit_of, stand_in
 from promptloom.sources import materialise
 
 #: Beginnings of words and phrases by which a speaker declines, by language; apostrophes read as spaces.
@@ -30,7 +32,9 @@ DECLINES = {
 }
 _DECLINE = re.compile("|".join(DECLINES.values()), re.IGNORECASE)
 _WORDS = re.compile(r"[^\W_]+")
-_SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
+#: From a sentence's stop, which a search finds faster than what stands behind one; only words are taken from between.
+_SENTENCES = re.compile(r"[.!?…\n](?:(?<=\n)|[\"'”’»)]*\s+)")
+_AGAIN = re.compile(r"([§#])(?: \1)+")
 _STEP = re.compile(r"^\W*(?:(?:step|paso|étape|schritt|passo)\s*)?\d+\s*[.:)\-]\s*", re.IGNORECASE)
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 12, 4, 0.8
@@ -41,11 +45,20 @@ _B = _RNG.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
 #: Hashes of a prompt's shingles that are kept; prompts of one class (0.8) differ in all of them once in 600 times.
 LEAST = 4
 PROMPT = [f"p{i}" for i in range(LEAST)]
+NO_HASHES = (-1,) * LEAST
 CHECKED = "table_name string, row_id long, defect string, opening string, closing string, n_sentences int, " + ", ".join(f"{p} long" for p in PROMPT)
 
 
+#: The same as ``_WORDS`` for texts of Latin-1 as bytes, which most are: what is in no word is a space.
+_BETWEEN = bytes(i if _WORDS.match(chr(i)) else 32 for i in range(256))
+
+
 def words(text: str) -> list[str]:
-    return _WORDS.findall(text.casefold())
+    low = text.casefold()
+    try:
+        return low.encode("latin-1").translate(_BETWEEN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORDS.findall(low)
 
 
 def copies(prompt: list[str], response: list[str], most: int = 4) -> bool:
@@ -68,12 +81,8 @@ def copies(prompt: list[str], response: list[str], most: int = 4) -> bool:
 
 def masked(sentence: list[str], prompt: frozenset[str]) -> str:
     """A sentence's words, with those of the prompt, which make it differ between prompts, and numbers masked."""
-    out: list[str] = []
-    for w in sentence:
-        x = "§" if w in prompt else "#" if w.isdigit() else w
-        if not (x in "§#" and out and out[-1] == x):
-            out.append(x)
-    return " ".join(out)
+    out = " ".join(["§" if w in prompt else "#" if w.isdigit() else w for w in sentence])
+    return _AGAIN.sub(r"\1", out) if "§ §" in out or "# #" in out else out
 
 
 #: Sentences with which a refusal may be over: itself, and two of courtesy.
@@ -82,42 +91,75 @@ BRIEF = 3
 _SHORT = 3
 
 
+class Memory(dict):
+    """What a function gives for each key, of which a bounded number are remembered."""
+
+    def __init__(self, of: Callable, most: int = 20_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = found = self.of(key)
+        return found
+
+
+def content(part: str) -> str | None:
+    """A part of a response without the number of its step; ``None`` if it has no content."""
+    step = part[m.end() :] if (m := _STEP.match(part)) else part
+    return None if stand_in(step) else step
+
+
+class Prompt:
+    """A prompt's words, those that it is about, and what they say of its language; its least hashes where they are asked for."""
+
+    def __init__(self, text: str | None):
+        self.words = words(text or "")
+        self.about = frozenset(w for w in self.words if len(w) > _SHORT)
+        self.evidence = evidence(text or "", self.words)
+
+    @functools.cached_property
+    def least(self) -> tuple[int, ...]:
+        return least_hashes(self.words)
+
+
 class PairChecker:
     """Looks at pairs one by one; the model of cut texts and a memory of repeated texts come with it."""
 
     def __init__(self, model: CutModel, limits: dict):
-        self.model, self.limits, self.cuts, self.languages = model, limits, {}, {}
-
-    def _cut(self, text: str, source: str) -> bool:
-        key = (source, text)
-        if key not in self.cuts:
-            if len(self.cuts) > 20_000:
-                self.cuts.clear()
-            near = limit_of(len(text), self.limits.get((source, "response"), []))
-            self.cuts[key] = bool(self.model.score([text], [near])[0] >= self.model.threshold)
-        return self.cuts[key]
-
-    def check(self, source: str, prompt: str | None, parts: list[str | None] | None, context: str | None) -> tuple[str | None, str | None, str | None, int, list[str]]:
-        """The defect that the pair shows by itself, its masked first and last sentence, how many it has; the prompt's words."""
-        steps = [p[m.end() :] if (m := _STEP.match(p)) else p for p in parts or [] if p is not None]
-        steps = [s for s in steps if not stand_in(s)]
+        self.model, self.limits = model, limits
+        self.contents, self.prompts, self.cuts, self.endings = Memory(content), Memory(Prompt), Memory(self._cut), Memory(self._ends_cut)
+
+    def _ends_cut(self, of: tuple) -> bool:
+        return bool(self.model.probability(self.model.weigh(of)) >= self.model.threshold)
+
+    def _cut(self, key: tuple[str, str]) -> bool:
+        source, text = key
+        end = text[-CLOSING:]
+        near = limit_of(len(text), self.limits.get((source, "response"), []))
+        return self.endings[closing(end, near, len(text) - len(end))]
+
+    def check(self, source: str, prompt: str | None, parts: Iterable[str | None] | None, context: str | None) -> tuple[str | None, str | None, str | None, int, tuple[int, ...]]:
+        """The defect that the pair shows by itself, its masked first and last sentence, how many it has; the prompt's hashes, if it may be a refusal."""
+        steps = [s for p in (() if parts is None else parts) if p is not None and (s := self.contents[p]) is not None]
         if not steps:
-            return "empty", None, None, 0, []
+            return "empty", None, None, 0, NO_HASHES
         response = " ".join(steps) if len(steps) > 1 else steps[0]
         sentences = [w for x in _SENTENCES.split(response) if (w := words(x))] or [[]]
-        said = [w for x in sentences for w in x]
-        asked = words(prompt or "")
-        if copies(asked, said):
-            return "copy", None, None, 0, asked
-        about = frozenset(w for w in asked if len(w) > _SHORT)
-        opening = masked(sentences[0], about)
-        closing = masked(sentences[-1], about) if 1 < len(sentences) <= BRIEF else None  # of what may be a refusal
-        than = evidence(context) if context is not None else evidence(prompt or "", asked)
+        said = list(chain.from_iterable(sentences))
+        asked = self.prompts[prompt]
+        if copies(asked.words, said):
+            return "copy", None, None, 0, NO_HASHES
+        opening = masked(sentences[0], asked.about)
+        brief = len(sentences) <= BRIEF  # and may be a refusal
+        ending = masked(sentences[-1], asked.about) if brief and len(sentences) > 1 else None
+        than = evidence(context) if context is not None else asked.evidence
+        defect = None
         if other_language(evidence(response, said), than):
-            return "language", opening, closing, len(sentences), asked
-        if self._cut(steps[-1], source):
-            return "truncated", opening, closing, len(sentences), asked
-        return None, opening, closing, len(sentences), asked
+            defect = "language"
+        elif self.cuts[source, steps[-1]]:
+            defect = "truncated"
+        return defect, opening, ending, len(sentences), asked.least if brief else NO_HASHES
 
 
 def least_hashes(own: list[str]) -> tuple[int, ...]:
@@ -126,7 +168,7 @@ def least_hashes(own: list[str]) -> tuple[int, ...]:
     Each is the shingle that comes first in an order of its own, as in MinHash.
     """
     if not own:
-        return (-1,) * LEAST
+        return NO_HASHES
     hashes = [crc32(" ".join(own[i : i + SHINGLE]).encode()) for i in range(max(1, len(own) - SHINGLE + 1))]
     swapped = [h >> 16 | (h & 0xFFFF) << 16 for h in hashes]
     return min(hashes), max(hashes), min(swapped), max(swapped)
@@ -136,12 +178,11 @@ def _checked(model, limits: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         checker = PairChecker(model.value, limits)
         for b in batches:
-            parts = [None if p is None else list(p) for p in b["parts"]]
-            rows = [checker.check(*x) for x in zip(b["table_name"], b["prompt"], parts, b["context"])]
+            rows = [checker.check(*x) for x in zip(b["table_name"], b["prompt"], b["parts"], b["context"])]
             out = pd.DataFrame([r[:4] for r in rows], columns=["defect", "opening", "closing", "n_sentences"])
             out.insert(0, "table_name", b["table_name"].to_numpy())
             out.insert(1, "row_id", b["row_id"].to_numpy())
-            least = np.array([least_hashes(r[4] if 0 < r[3] <= BRIEF else []) for r in rows], dtype=np.int64).reshape(-1, LEAST)
+            least = np.array([r[4] for r in rows], dtype=np.int64).reshape(-1, LEAST)
             yield out.assign(**{p: least[:, k] for k, p in enumerate(PROMPT)})
 
     return run
@@ -151,42 +192,67 @@ def shingles(opening: str) -> set[int]:
     own = opening.split()
     if len(own) <= SHINGLE:
         return {crc32(opening.encode())}
-    return {crc32(" ".join(own[i : i + SHINGLE]).encode()) for i in range(len(own) - SHINGLE + 1)}
+    own = " ".join(own).encode().split(b" ")
+    return {crc32(b" ".join(own[i : i + SHINGLE])) for i in range(len(own) - SHINGLE + 1)}
+
+
+#: Openings whose hashes are taken at once.
+_AT_ONCE = 200
+
+
+def _bands(openings: list[str]) -> np.ndarray:
+    each = [shingles(x) for x in openings]
+    begins = np.cumsum([0, *map(len, each[:-1])])
+    hashed = np.fromiter(chain.from_iterable(each), dtype=np.uint64)[:, None] * _A + _B
+    least = np.minimum.reduceat(hashed >> np.uint64(20), begins, axis=0).reshape(-1, BANDS, ROWS)
+    mixed = (least * _A[:ROWS]).sum(axis=2, dtype=np.uint64)
+    return (mixed & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        bands = []
-        for opening in batch["opening"]:
-            own = np.fromiter(shingles(opening), dtype=np.uint64)
-            hashed = ((own[:, None] * _A + _B) >> np.uint64(20)).min(axis=0).reshape(BANDS, ROWS)
-            bands.append([crc32(r.tobytes()) * 64 + i for i, r in enumerate(hashed)])
-        yield pd.DataFrame({"opening": batch["opening"], "bands": bands})
+        openings = batch["opening"].tolist()
+        bands = [row for i in range(0, len(openings), _AT_ONCE) for row in _bands(openings[i : i + _AT_ONCE])]
+        yield pd.DataFrame({"opening": openings, "bands": bands})
+
+
+#: Openings of a bucket of which each is held against all others.
+FEW = 12
+
+
+def alike(own: set[int], other: set[int]) -> bool:
+    both = len(own & other)
+    return both >= SIMILAR * (len(own) + len(other) - both)
 
 
 def components(openings: list[str]) -> dict[str, str]:
     """Each opening's head, the least of its component of links of ``SIMILAR`` or more, none of which is lost.
 
     Similar ones share one of their rarest shingles, of which there are as many as may differ and one more; so only
-    those that share one of these are held against each other, and none with a component that it is in already.
+    those that share one of these are held against each other, and none with a component that it is in already. Of
+    ``FEW``, which most buckets have, looking for rare ones takes longer than holding each against all others.
     """
     each = {x: shingles(x) for x in sorted(openings)}
-    often = Counter(s for own in each.values() for s in own)
-    head: dict[str, str] = {}
+    head: dict[str, str] = {x: x for x in each}
 
     def root(x: str) -> str:
         while head[x] != x:
             head[x] = x = head[head[x]]
         return x
 
+    if len(each) <= FEW:
+        for (x, own), (y, other) in combinations(each.items(), 2):
+            if (low := root(x)) != (high := root(y)) and alike(own, other):
+                head[max(low, high)] = min(low, high)
+        return {x: root(x) for x in each}
+    often = Counter(chain.from_iterable(each.values()))
     index: dict[int, dict[str, list[str]]] = {}  # shingle, head, those of its component that are known by the shingle
     for opening, own in each.items():
-        head[opening] = opening
         few = [s for s in own if often[s] > 1]
         few = sorted(few, key=lambda s: (often[s], s))[: max(0, differing(len(own)) + 1 - (len(own) - len(few)))]
         for s in few:
             for theirs, members in list(index.get(s, {}).items()):
-                if root(theirs) != root(opening) and any(len(own & each[x]) >= SIMILAR * len(own | each[x]) for x in members):
+                if root(theirs) != root(opening) and any(alike(own, each[x]) for x in members):
                     low, high = sorted((root(theirs), root(opening)))
                     head[high] = low
         for s in few:

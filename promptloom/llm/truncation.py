@@ -27,18 +27,18 @@ STAND_INS = frozenset({"", "null", "none", "nil", "nan", "n a", "na", "tbd", "tb
 
 _PLAIN = re.compile(r"[\W_]+")
 _FOUR_WORDS = re.compile(r"[\W_]*(?:[^\W_]+[\W_]+){3}[^\W_]")
-_TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
 _OUTER = STOPS + CLOSERS + ",;:"
 _AROUND = _OUTER + "(«\"“"
 _BREAK = re.compile(rf"(?<=[{STOPS}])[{re.escape(CLOSERS)}]?\s+|\n+")
-_TERMINATED = re.compile(rf"[{STOPS}][{re.escape(CLOSERS)}]*$")
-_ELLIPSIS = re.compile(r"(\.\.|…)[\"'”’»)\]]*$")
+#: Ends where ``_BREAK`` does, and begins with the stop before it, so that a search need not look back at every character.
+_AFTER = re.compile(rf"[{STOPS}\n](?:(?<=\n)\n*|[{re.escape(CLOSERS)}]?\s+)")
 
 
 def terminated(text: str) -> bool:
     """Ends as a sentence does."""
-    return bool(_TERMINATED.search(text)) and not _ELLIPSIS.search(text)
+    end = text.removesuffix("\n")
+    return end.rstrip(CLOSERS).endswith(tuple(STOPS)) and not end.rstrip("\"'”’»)]").endswith(("..", "…"))
 
 
 def stand_in(text: str) -> bool:
@@ -52,34 +52,46 @@ def _openings(sentence: str) -> tuple[str, ...]:
 
 
 def _tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_DIGITS.sub("#", text.lower()))
+    return _DIGITS.sub("#", text.lower()).split()
 
 
 #: Closing characters of a text that a model is fitted on and scores by.
 CLOSING = 2_000
 
 
-def features(text: str, limit: int, glue: frozenset[str], before: int = 0) -> list[int]:
-    """Hashed features of the closing characters, the closing words, punctuation, and length against the limit.
+def closing(text: str, limit: int, before: int = 0) -> tuple:
+    """All of a text that its features are of: its last sentence and characters, whether it is terminated and within code, and its length against the limit.
 
-    ``text`` is a whole text or the last ``CLOSING`` characters of one, with ``before`` characters in front of them. ``glue``
-    are the words frequent enough to show how a sentence is built; ``limit`` is the nearest field limit at or above the
-    text's length (0: none known).
+    ``text`` is a whole text or the last ``CLOSING`` characters of one, with ``before`` characters in front of them; ``limit``
+    is the nearest field limit at or above the text's length (0: none known).
     """
     tail = text[-400:]
-    stripped = len(tail.rstrip())
     begin = 0
-    for m in _BREAK.finditer(tail, 0, max(0, stripped - 1)):
+    for m in _AFTER.finditer(tail, 0, max(0, len(tail.rstrip()) - 1)):
         begin = m.end()
-    last = tail[begin:]
+    gap = limit - before - len(text)
+    against = (min(gap, 4) if gap < 4 else "far", min(9, int(10 * (before + len(text)) / limit))) if limit else None
+    return tail[begin:], text[-3:], terminated(tail), text.count("```") % 2, against
+
+
+def features(text: str, limit: int, glue: frozenset[str], before: int = 0) -> list[int]:
+    """Hashed features of the closing characters, the closing words, punctuation, and length against the limit.
+
+    ``glue`` are the words frequent enough to show how a sentence is built; the others as in ``closing``.
+    """
+    return closing_features(closing(text, limit, before), glue)
+
+
+def closing_features(of: tuple, glue: frozenset[str]) -> list[int]:
+    last, characters, stopped, code, against = of
     words = _tokens(last)
     n = len(words)
-    end = text[-1:]
+    end = characters[-1:]
     w1 = words[-1] if words else ""
     w2 = words[-2] if n > 1 else "^"
     w3 = words[-3] if n > 2 else "^"
     bare = w1.rstrip(_OUTER)
-    t = "T" if terminated(tail) else "U"
+    t = "T" if stopped else "U"
     opening = " ".join(words[: 2 if words and words[0][:1].isalnum() else 1])
     shape: list[str] = []
     gaps, seen = 0, 0
@@ -98,17 +110,18 @@ def features(text: str, limit: int, glue: frozenset[str], before: int = 0) -> li
     two, three, four, all_ = " ".join(shape[-2:]), " ".join(shape[-3:]), " ".join(shape[-4:]), " ".join(shape)
     pair, triple = f"{w2} {bare}", f"{w3} {w2} {bare}"
     raw = [
-        f"c1{end}", f"c2{text[-2:]}", f"c3{_DIGITS.sub('#', text[-3:])}", f"s{end.isspace()}", f"t{t}", f"p{w1[len(bare) :]}{t}",
+        f"c1{end}", f"c2{characters[-2:]}", f"c3{_DIGITS.sub('#', characters)}", f"s{end.isspace()}", f"t{t}", f"p{w1[len(bare) :]}{t}",
         f"a{bare}|{t}", f"A{bare}", f"b{pair}|{t}", f"B{pair}", f"d{triple}", f"D{triple}|{t}",
         f"e{two}|{t}", f"f{three}|{t}", f"g{four}|{t}", f"h{all_}|{t}", f"i{opening}|{two}|{t}", f"j{opening}|{min(n, 20)}|{t}",
         f"k{opening}|{bare}|{t}", f"l{gaps}|{t}", f"m{opening}|{gaps}|{two}", f"n{min(n, 12)}|{t}", f"w{bare in glue}|{t}",
-        f"q{last.count('(') > last.count(')')}{last.count(chr(34)) % 2}{text.count('```') % 2}{last.count('«') > last.count('»')}|{t}",
+        f"q{last.count('(') > last.count(')')}{last.count(chr(34)) % 2}{code}{last.count('«') > last.count('»')}|{t}",
     ]
-    if limit:
-        gap = limit - before - len(text)
-        raw.append(f"L{min(gap, 4) if gap < 4 else 'far'}|{t}")
-        raw.append(f"M{min(9, int(10 * (before + len(text)) / limit))}")
-    return [crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in raw]
+    if against:
+        raw += [f"L{against[0]}|{t}", f"M{against[1]}"]
+    encoded = "\0".join(raw).encode("utf-8", "replace").split(b"\0")
+    if len(encoded) != len(raw):  # a null character in the text
+        encoded = [x.encode("utf-8", "replace") for x in raw]
+    return [crc32(x) & ((1 << BITS) - 1) for x in encoded]
 
 
 class CutModel:
@@ -121,8 +134,15 @@ class CutModel:
         out = np.empty(len(texts))
         for i, (text, limit) in enumerate(zip(texts, limits)):
             end = text[-CLOSING:]
-            out[i] = self.weights[features(end, limit, self.glue, len(text) - len(end))].sum() if not stand_in(text) else -50.0
-        return 1 / (1 + np.exp(-(out + self.bias)))
+            out[i] = self.weigh(closing(end, limit, len(text) - len(end))) if not stand_in(text) else -50.0
+        return self.probability(out)
+
+    def weigh(self, of: tuple) -> float:
+        """The weights of a closing's features."""
+        return float(np.add.reduce(self.weights.take(closing_features(of, self.glue))))
+
+    def probability(self, weighed: np.ndarray | float) -> np.ndarray | float:
+        return 1 / (1 + np.exp(-(weighed + self.bias)))
 
     @staticmethod
     def _glue(texts: list[str]) -> frozenset[str]:

@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from promptloom.llm import pairs
+from promptloom.llm import pairs, truncation
 from promptloom.llm.language import evidence, other_language
 from promptloom.llm.pairs import copies, defective_pairs, masked, opening_classes, shingles, words
 
@@ -146,3 +147,46 @@ def test_refusals_are_told_by_recurrence(spark):
     got = {r.row_id for r in defective_pairs(df).filter("defect = 'refusal'").collect()}
     true = {i for i, d in want.items() if d == "refusal"}
     assert len(got & true) >= 0.95 * len(true) and not got - true
+
+
+def odd_texts(n):
+    draw = random.Random(7)
+    bits = [*".!?…\n\"'”’»)] \t\xa0\x85\x1c\0ßµñ¿ãõäöœêûÀİΣςК日²½٣09aZ_§#`«(-\ud800", " ", " ", " en ", "la ", ". ", "...", "```", "Step 2: ", "não "]
+    return ["".join(draw.choices(bits, k=draw.choice([0, 1, 3, 8, 30, 500]))) for _ in range(n)]
+
+
+def test_words_and_ends_equal_their_patterns():
+    for text in odd_texts(3_000):
+        assert words(text) == re.findall(r"[^\W_]+", text.casefold())
+        full, cut = re.search(rf"[{truncation.STOPS}][{re.escape(truncation.CLOSERS)}]*$", text), re.search(r"(\.\.|…)[\"'”’»)\]]*$", text)
+        assert truncation.terminated(text) is bool(full and not cut)
+        old = [w for x in re.split(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+", text) if (w := words(x))]
+        assert [w for x in pairs._SENTENCES.split(text) if (w := words(x))] == old
+        tail, begin = text[-400:], 0
+        for m in truncation._BREAK.finditer(tail, 0, max(0, len(tail.rstrip()) - 1)):
+            begin = m.end()
+        assert truncation.closing(text, 0)[0] == tail[begin:]
+
+
+def test_equal_endings_are_weighed_once(monkeypatch):
+    """Different responses whose last sentences are the same, and a prompt that comes again, are looked at once."""
+    fit = [f"The figures for {s} rose by {i} percent." for i in range(40) for s in SUBJECTS]
+    model, calls = truncation.CutModel.fit(fit, [0] * len(fit)), []
+    monkeypatch.setattr(truncation, "crc32", lambda x, crc=truncation.crc32: calls.append(x) or crc(x))
+    checker = pairs.PairChecker(model, {})
+    texts = [f"Report {i} says little. The figures for audits rose by a few percent." for i in range(200)]
+    got = [checker.check("t", "What of audits?", [x], None)[0] for x in texts]
+    assert 0 < len(calls) < 100 and set(got) == {"truncated" if model.score([texts[0]], [0])[0] >= model.threshold else None}
+
+
+def test_equal_evidence_is_a_tie():
+    """A tie isn't decided by how sums of thirds are rounded, but goes to the language seen first."""
+    found = evidence("avec niet zijn en une")
+    assert max(found, key=found.get) == "fr"
+
+
+@pytest.mark.parametrize("few", [0, 12, 1_000])
+def test_components_of_any_size_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(pairs, "FEW", few)
+    for openings in (variants(8, 3, 3), variants(9, 12, 20), ["a", "b c"], []):
+        assert pairs.components(openings) == by_brute_force(openings)
